@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposit.llm import packing, splits, tokens, topn
+from exposit.llm import neardup, packing, splits, tokens, topn
 from exposit.sources.tables import load
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links, members = neardup.near_duplicates(load(spark, sf_dir, "comments"), "comment_id", "text")
+    return neardup.pairs_of(links, members).select(F.col("a").alias("comment_id_a"), F.col("b").alias("comment_id_b"))
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each long comment with its author, class, group and number of linked classes."""
+    comments = load(spark, sf_dir, "comments")
+    links, members = neardup.near_duplicates(comments, "comment_id", "text")
+    authors = comments.groupBy("comment_id").agg(F.max("author_channel_id").alias("author_channel_id"))
+    return neardup.groups_of(links, members).join(authors, F.col("key") == F.col("comment_id")).select("comment_id", "author_channel_id", "class", "group", "links")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups, _ = splits.creator_groups(load(spark, sf_dir, "videos"), load(spark, sf_dir, "channels"), load(spark, sf_dir, "comments"))
     return groups
@@ -38,7 +51,7 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_items(sizes, "doc_id", "n_tokens")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_splits, p6_found, p7_ids, p8_pack)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_splits, p6_found, p7_ids, p8_pack)}
 
 SQL: dict[str, str] = {
     "p6_found": """
