@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposit.llm import neardup, packing, splits, tokens, topn
+from exposit.llm import language, neardup, packing, splits, tokens, topn
 from exposit.sources.tables import load
 
 
@@ -24,6 +24,27 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups_of(links, members).join(authors, F.col("key") == F.col("comment_id")).select("comment_id", "author_channel_id", "class", "group", "links")
 
 
+def _language_model(spark: SparkSession, sf_dir: str) -> tuple[language.Model, DataFrame]:
+    """The model fitted on declared comments, and (comment_id, text, code) of every declared comment."""
+    declared = load(spark, sf_dir, "comment_langs").select("comment_id", language.label_code(F.col("lang")).alias("code"))
+    comments = load(spark, sf_dir, "comments").select("comment_id", "text")
+    rows = comments.join(declared, "comment_id").dropDuplicates(["comment_id", "code"])
+    return language.fit_on(rows, "comment_id", "text", "code"), rows
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, rows = _language_model(spark, sf_dir)
+    found = language.segments(rows, "comment_id", "text", model).select("comment_id", "lang")
+    return language.misdeclared(found, rows.select("comment_id", "code"), "comment_id")
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages of every comment and of each stretch of it, with confidence."""
+    model, _ = _language_model(spark, sf_dir)
+    comments = load(spark, sf_dir, "comments").groupBy("comment_id").agg(F.max("text").alias("text"))
+    return language.segments(comments, "comment_id", "text", model)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups, _ = splits.creator_groups(load(spark, sf_dir, "videos"), load(spark, sf_dir, "channels"), load(spark, sf_dir, "comments"))
     return groups
@@ -51,7 +72,7 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_items(sizes, "doc_id", "n_tokens")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_splits, p6_found, p7_ids, p8_pack)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_segments, p4_found, p4_splits, p6_found, p7_ids, p8_pack)}
 
 SQL: dict[str, str] = {
     "p6_found": """
