@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/exposit-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read from there; its shuffle files may then go."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    release(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that no plan refers to any more: it does so when its driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def listing(spark: SparkSession, path: str) -> list[str]:
     """The data files of a written table, as URIs."""
     jvm = spark.sparkContext._jvm
