@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exposit.sources.tables import cut
+from exposit.sources.tables import cut, release, written
 
 GROUPS = 32
 LEAF = 24
 BLOCK = 4096
 #: A tree is expected to hold at most so many texts, by the frequencies of its words.
-TREE = 96
+TREE = 1000
 DEEPEST = 5
 #: So many of the most frequent words have their counts sent to the tasks; all others are rarer and come before them in the order.
 FREQUENT = 65_536
@@ -306,9 +306,10 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.75,
     a member of several classes. Key comes out as a string under the name ``key``; other columns are ignored whatever their names.
     """
     spark = df.sparkSession
-    texts = cut(word_sets(df, key, text, min_words).repartition("digest"))
+    # Parquet's dictionaries hold the hashes of common words once a file; a checkpoint would be several times larger.
+    texts = written(word_sets(df, key, text, min_words), "texts")
     members = texts.select("key", "digest").distinct()
-    own = texts.dropDuplicates(["digest"]).select("digest", "id", "n", "words")
+    own = written(texts.dropDuplicates(["digest"]).select("digest", "id", "n", "words"), "classes")
     counts = own.select(F.explode("words").alias("w")).groupBy("w").count()
     frequent = counts.where("count > 1").orderBy(F.desc("count"), "w").limit(FREQUENT).collect()
     total = own.count()
@@ -338,6 +339,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.75,
     points = own.select("id", "n", "words").mapInArrow(emit, "key bigint, id bigint, n int, point binary")
     sorted_points = points.repartition("key").sortWithinPartitions("key")
     found = cut(sorted_points.mapInArrow(_forest(threshold), "a bigint, b bigint, key bigint, block binary"))
+    release(spark)
     large = found.where("key is not null").select("key", "block", F.xxhash64("block").alias("h"))
     left, right = large.select("key", F.col("block").alias("l"), F.col("h").alias("hl")), large.select("key", F.col("block").alias("r"), F.col("h").alias("hr"))
     block_pairs = left.join(right, "key").where("hl <= hr").withColumn("same", F.col("l") == F.col("r")).where("hl < hr or same or l < r").select("same", "l", F.when(~F.col("same"), F.col("r")).alias("r"))
