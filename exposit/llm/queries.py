@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposit.llm import language, neardup, packing, splits, tokens, topn
+from exposit.llm import language, neardup, packing, quality, splits, tokens, topn
 from exposit.sources.tables import load
 
 
@@ -72,7 +72,18 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_items(sizes, "doc_id", "n_tokens")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_segments, p4_found, p4_splits, p6_found, p7_ids, p8_pack)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, judged = quality.judge(load(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    return judged.where("kind is not null").select("doc_id", "kind")
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's statistics, nearest language, distance from prose and the contributions to it."""
+    stats, judged = quality.judge(load(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    return stats.join(judged.select("doc_id", "nearest", "distance", "contributions", "kind"), "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_segments, p4_found, p4_splits, p6_found, p7_ids, p8_pack, p9_found, p9_statistics)}
 
 SQL: dict[str, str] = {
     "p6_found": """
