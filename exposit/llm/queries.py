@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposit.llm import language, neardup, packing, quality, splits, tokens, topn
+from exposit.llm import abuse, language, neardup, packing, quality, splits, tokens, topn
 from exposit.sources.tables import load
 
 
@@ -58,6 +58,28 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.deal(groups, weights, {"train": 0.8, "validation": 0.1, "test": 0.1})
 
 
+def _abuse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    comments = load(spark, sf_dir, "comments").where(F.col("comment_id").isNotNull())
+    return abuse.score(comments, "comment_id", "text", abuse.fit_on(comments, "comment_id", "text"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse_scores(spark, sf_dir).where("kind is not null").select("comment_id", "kind").distinct()
+
+
+def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every comment's probability of each kind."""
+    return _abuse_scores(spark, sf_dir).dropDuplicates(["comment_id"])
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of flagged comments per creator, by the canonical handle of the video."""
+    scored = _abuse_scores(spark, sf_dir).select("comment_id", "kind").dropDuplicates(["comment_id"])
+    handles = load(spark, sf_dir, "videos").groupBy("video_id").agg(F.min(splits.canonical_handle(F.col("channel_handle"))).alias("handle"))
+    owners = load(spark, sf_dir, "comments").groupBy("comment_id").agg(F.min("video_id").alias("video_id")).join(handles, "video_id", "left").select("comment_id", "handle")
+    return abuse.rates(scored, owners, "comment_id", "handle")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = topn.latest_observation(load(spark, sf_dir, "comments"))
     return topn.top_n(last, "video_id", "like_count", "published_at", "comment_id", 5).select("video_id", "comment_id")
@@ -83,7 +105,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.join(judged.select("doc_id", "nearest", "distance", "contributions", "kind"), "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_segments, p4_found, p4_splits, p6_found, p7_ids, p8_pack, p9_found, p9_statistics)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_segments, p4_found, p4_splits, p5_found, p5_scores, p5_rates, p6_found, p7_ids, p8_pack, p9_found, p9_statistics)}
 
 SQL: dict[str, str] = {
     "p6_found": """
