@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
@@ -32,11 +33,11 @@ from pyspark.sql import functions as F
 
 from exposit.sources.tables import cut, release, written
 
-GROUPS = 32
-LEAF = 24
-BLOCK = 4096
+GROUPS = 64
+LEAF = 128
+BLOCK = 16_384
 #: A tree is expected to hold at most so many texts, by the frequencies of its words.
-TREE = 1000
+TREE = 12_000
 DEEPEST = 5
 #: So many of the most frequent words have their counts sent to the tasks; all others are rarer and come before them in the order.
 FREQUENT = 65_536
@@ -124,92 +125,98 @@ def chains(starts: np.ndarray, sizes: np.ndarray, words: np.ndarray, share: np.n
     return np.concatenate(texts) if texts else np.empty(0, np.int64), (np.concatenate(keys) if keys else np.empty(0, np.uint64)).view(np.int64)
 
 
-def _packed(starts: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Group counts as half bytes. A text with a count over 15 has 15 everywhere: its bound is then its partner's size or more."""
+@dataclass
+class Points:
+    """Texts as points: id, number of words, count bits (one row of two words each) and what goes beyond the bits."""
+
+    ids: np.ndarray
+    n: np.ndarray
+    bits: np.ndarray
+    beyond: np.ndarray
+
+    def __getitem__(self, at: np.ndarray | slice) -> Points:
+        return Points(self.ids[at], self.n[at], self.bits[at], self.beyond[at])
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def longs(self) -> tuple[np.ndarray, ...]:
+        return self.ids, self.n | self.beyond << 32, *np.ascontiguousarray(self.bits.view(np.int64).T)
+
+    @staticmethod
+    def of(ids: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray) -> Points:
+        return Points(ids, sizes & 0xFFFFFFFF, np.stack([low, high], 1).view(np.uint64), sizes >> 32)
+
+
+def points_of(ids: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> Points:
     owner = np.repeat(np.arange(len(sizes)), sizes)
     group = (words.view(np.uint64) % np.uint64(GROUPS)).astype(np.int64)
     counts = np.bincount(owner * GROUPS + group, minlength=len(sizes) * GROUPS).reshape(-1, GROUPS)
-    counts[(counts > 15).any(1)] = 15
-    return (counts[:, 0::2] << 4 | counts[:, 1::2]).astype(np.uint8)
+    place = np.uint64(1) << np.arange(GROUPS, dtype=np.uint64)
+    bits = np.stack([((counts >= k) * place).sum(1, dtype=np.uint64) for k in (1, 2)], 1)
+    return Points(ids, sizes.astype(np.int64), bits, np.maximum(counts - 2, 0).sum(1))
 
 
-def _unpacked(packed: np.ndarray) -> np.ndarray:
-    out = np.empty((len(packed), GROUPS), np.uint8)
-    out[:, 0::2], out[:, 1::2] = packed >> 4, packed & 15
-    return out
+def _possible(bound: np.ndarray, small: np.ndarray, large: np.ndarray, threshold: float) -> np.ndarray:
+    return (small >= threshold * large - 1e-9) & (bound * (1 + threshold) >= threshold * (small + large) - 1e-6)
 
 
-def _tested(i: np.ndarray, j: np.ndarray, n: np.ndarray, vec: np.ndarray, threshold: float, m: np.ndarray | None = None, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _tested(i: np.ndarray, j: np.ndarray, x: Points, y: Points, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Of the pairs (i, j) those whose summed minima allow a match."""
-    m, other = n if m is None else m, vec if other is None else other
-    small, large = np.minimum(n[i], m[j]), np.maximum(n[i], m[j])
-    ok = small >= threshold * large - 1e-9
-    i, j = i[ok], j[ok]
-    keep = []
-    for k in range(0, len(i), 65_536):
-        a, b = i[k : k + 65_536], j[k : k + 65_536]
-        bound = np.minimum(vec[a], other[b]).sum(1, dtype=np.uint16)
-        wide = (vec[a, 0] == 15) & (other[b, 0] == 15)
-        keep.append(wide | (bound * (1 + threshold) >= threshold * (n[a] + m[b]) - 1e-6))
-    ok = np.concatenate(keep) if keep else np.empty(0, bool)
+    bound = np.bitwise_count(x.bits[i] & y.bits[j]).sum(1, dtype=np.int64) + np.minimum(x.beyond[i], y.beyond[j])
+    ok = _possible(bound, np.minimum(x.n[i], y.n[j]), np.maximum(x.n[i], y.n[j]), threshold)
     return i[ok], j[ok]
 
 
-def _leaves(vec: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the points and where each leaf begins: bulk loading by halving at the widest coordinate."""
-    order, cuts, todo = [], [], [np.arange(len(n))]
-    filled = 0
-    full = np.concatenate([vec, np.minimum(n, 255)[:, None].astype(np.uint8)], 1)
-    while todo:
-        part = todo.pop()
-        if len(part) <= LEAF:
-            order.append(part)
-            cuts.append(filled)
-            filled += len(part)
-            continue
-        wide = int(full[part].astype(np.int16).var(0).argmax())
-        part = part[np.argsort(full[part, wide], kind="stable")]
-        todo += [part[len(part) // 2 :], part[: len(part) // 2]]
-    return np.concatenate(order), np.array(cuts)
-
-
-def tree_join(n: np.ndarray, vec: np.ndarray, threshold: float, m: np.ndarray | None = None, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of points that may match: within one set (i < j in its leaf order), or across two."""
-    own = m is None
-    order, starts = _leaves(vec, n)
-    high, low = np.maximum.reduceat(vec[order], starts), np.minimum.reduceat(n[order], starts)
-    most = np.maximum.reduceat(n[order], starts)
-    if own:
-        m, other, order2, starts2, high2, low2, most2 = n, vec, order, starts, high, low, most
-    else:
-        order2, starts2 = _leaves(other, m)
-        high2, low2, most2 = np.maximum.reduceat(other[order2], starts2), np.minimum.reduceat(m[order2], starts2), np.maximum.reduceat(m[order2], starts2)
-    ends, ends2 = np.append(starts[1:], len(order)), np.append(starts2[1:], len(order2))
-    got_i, got_j = [], []
-    for a in range(len(starts)):
-        bound = np.minimum(high[a], high2).sum(1, dtype=np.int64)
-        wide = (high[a] == 15).all() & (high2 == 15).all(1)
-        ok = wide | (bound * (1 + threshold) >= threshold * (low[a] + low2) - 1e-6)
-        ok &= (most[a] >= threshold * low2 - 1e-9) & (most2 >= threshold * low[a] - 1e-9)
+class Tree:
+    """The leaves of a bulk-loaded R-tree: points in order of size and bits, each leaf with its corner and range of sizes."""
+
+    def __init__(self, points: Points):
+        self.order = np.lexsort((points.bits[:, 1], points.bits[:, 0], points.n))
+        self.points = points[self.order]
+        self.begin = np.arange(0, len(points), LEAF)
+        self.end = np.append(self.begin[1:], len(points))
+        self.corner = np.bitwise_or.reduceat(self.points.bits, self.begin, axis=0)
+        self.beyond = np.maximum.reduceat(self.points.beyond, self.begin)
+        self.least, self.most = self.points.n[self.begin], self.points.n[self.end - 1]
+
+
+def tree_join(x: Tree, y: Tree | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(left ids, right ids) of the points that may match: across two trees, or within ``x``."""
+    own, y = y is None, x if y is None else y
+    left, right = [], []
+    for a in range(len(x.begin)):
+        bound = np.bitwise_count(x.corner[a] & y.corner).sum(1, dtype=np.int64) + np.minimum(x.beyond[a], y.beyond)
+        # The sizes nearest to each other decide whether any two can match in size; the smallest ones need the least in common.
+        ok = (x.most[a] >= threshold * y.least - 1e-9) & (y.most >= threshold * x.least[a] - 1e-9)
+        ok &= bound * (1 + threshold) >= threshold * (x.least[a] + y.least) - 1e-6
         if own:
             ok[:a] = False
         hit = np.flatnonzero(ok)
         if not len(hit):
             continue
-        right = np.concatenate([np.arange(starts2[b], ends2[b]) for b in hit])
-        left = np.arange(starts[a], ends[a])
-        i, j = np.repeat(left, len(right)), np.tile(right, len(left))
-        if own:
-            i, j = i[i < j], j[i < j]
-        i, j = _tested(order[i], order2[j], n, vec, threshold, m, other)
-        got_i.append(i)
-        got_j.append(j)
-    if not got_i:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(got_i), np.concatenate(got_j)
-
-
-_POINT = 16
+        rows = slice(x.begin[a], x.end[a])
+        for b in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):  # leaves that follow each other are tested at once
+            for start in range(y.begin[b[0]], y.end[b[-1]], 4096):
+                cols = slice(start, min(start + 4096, y.end[b[-1]]))
+                one, two = x.points.bits[rows], y.points.bits[cols]
+                common = np.bitwise_count(one[:, None, 0] & two[None, :, 0])
+                common += np.bitwise_count(one[:, None, 1] & two[None, :, 1])
+                extra = min(int(x.points.beyond[rows].max()), int(y.points.beyond[cols].max()))
+                least = threshold / (1 + threshold) * (x.least[a] + int(y.points.n[cols].min())) - extra - 1e-6
+                i, j = np.nonzero(common >= least) if least > 0 else (k.ravel() for k in np.indices(common.shape))
+                i, j = i + rows.start, j + cols.start
+                if own:
+                    i, j = i[i < j], j[i < j]
+                i, j = _tested(i, j, x.points, y.points, threshold)
+                left.append(x.points.ids[i])
+                right.append(y.points.ids[j])
+    none = np.empty(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+#: Trees of at most so many points are tested as they are, many at once.
+SMALL = 24
 
 
 def _forest(threshold: float):  # noqa: ANN202
@@ -218,44 +225,40 @@ def _forest(threshold: float):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
-        def joined(key: np.ndarray, ids: np.ndarray, n: np.ndarray, packed: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def joined(key: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+            points = Points.of(*columns)
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             sizes = np.diff(np.append(starts, len(key)))
             lefts, rights = [], []
-            vec = _unpacked(packed)
-            for s in np.unique(sizes[(sizes > 1) & (sizes <= LEAF)]):
+            for s in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
                 a, b = np.triu_indices(s, 1)
                 at = starts[sizes == s]
-                i, j = _tested((at[:, None] + a).ravel(), (at[:, None] + b).ravel(), n, vec, threshold)
-                lefts.append(ids[i])
-                rights.append(ids[j])
-            for at, s in zip(starts[sizes > LEAF], sizes[sizes > LEAF]):
-                part = slice(at, at + s)
+                i, j = _tested((at[:, None] + a).ravel(), (at[:, None] + b).ravel(), points, points, threshold)
+                lefts.append(points.ids[i])
+                rights.append(points.ids[j])
+            for at, s in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
                 if s <= BLOCK:
-                    i, j = tree_join(n[part], vec[part], threshold)
-                    lefts.append(ids[part][i])
-                    rights.append(ids[part][j])
+                    i, j = tree_join(Tree(points[at : at + s]), None, threshold)
+                    lefts.append(i)
+                    rights.append(j)
                     continue
-                order, _ = _leaves(vec[part], n[part])
-                order = order + at
-                blobs = [order[k : k + BLOCK] for k in range(0, s, BLOCK)]
-                yield _batch(keys=[int(key[at])] * len(blobs), blocks=[ids[o].tobytes() + n[o].tobytes() + packed[o].tobytes() for o in blobs])
+                whole = Tree(points[at : at + s]).points
+                blobs = [b"".join(c.tobytes() for c in whole[k : k + BLOCK].longs()) for k in range(0, s, BLOCK)]
+                yield _batch(keys=[int(key[at])] * len(blobs), blocks=blobs)
             if lefts:
                 yield _pairs(np.concatenate(lefts), np.concatenate(rights))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, ids, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            packed = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, _POINT)
-            new = (key, ids, n.astype(np.int32), packed)
-            held.append(new)
-            if key[0] == key[-1] and (len(held) == 1 or held[-2][0][-1] == key[0]):
+            columns = tuple(batch.column(k).to_numpy() for k in range(5))
+            held.append(columns)
+            if columns[0][0] == columns[0][-1] and (len(held) == 1 or held[-2][0][-1] == columns[0][0]):
                 continue  # one tree so far
             every = [np.concatenate(x) for x in zip(*held)]
-            cut_at = np.searchsorted(every[0], every[0][-1]) if every[0][0] <= every[0][-1] else int(np.flatnonzero(every[0] != every[0][-1])[-1]) + 1
-            yield from joined(*(x[:cut_at] for x in every))
-            held = [tuple(x[cut_at:] for x in every)]
+            last = np.flatnonzero(every[0] != every[0][-1])[-1] + 1
+            yield from joined(*(x[:last] for x in every))
+            held = [tuple(x[last:] for x in every)]
         if held:
             yield from joined(*(np.concatenate(x) for x in zip(*held)))
 
@@ -275,24 +278,15 @@ def _pairs(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
     return _batch(np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]))
 
 
-def _read_block(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    many = len(blob) // (8 + 4 + _POINT)
-    ids, n = np.frombuffer(blob, np.int64, many), np.frombuffer(blob, np.int32, many, 8 * many)
-    return ids, n, _unpacked(np.frombuffer(blob, np.uint8, many * _POINT, 12 * many).reshape(-1, _POINT))
+def _read_block(blob: bytes) -> Tree:
+    return Tree(Points.of(*np.frombuffer(blob, np.int64).reshape(4, -1)))
 
 
 def _block_join(threshold: float):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for same, left, right in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                ids, n, vec = _read_block(left)
-                if same:
-                    i, j = tree_join(n, vec, threshold)
-                    other = ids
-                else:
-                    other, m, vec2 = _read_block(right)
-                    i, j = tree_join(n, vec, threshold, m, vec2)
-                yield _pairs(ids[i], other[j])
+                yield _pairs(*tree_join(_read_block(left), None if same else _read_block(right), threshold))
 
     return run
 
@@ -328,15 +322,14 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.75,
             starts = np.cumsum(sizes) - sizes
             at = np.minimum(np.searchsorted(have, words), max(0, len(have) - 1))
             number = np.where(have[at] == words, much[at], rest) if len(have) else np.full(len(words), rest)
-            vec = _packed(starts, sizes, words)
+            points = points_of(ids, sizes, words)
             order = np.lexsort((words, number, np.repeat(np.arange(len(sizes)), sizes)))
             texts, keys = chains(starts, sizes, words[order], number[order] / max(1, total), total, threshold, tree)
             for k in range(0, len(texts), 100_000):
-                t = texts[k : k + 100_000]
-                points = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_POINT), len(t), [None, pa.py_buffer(np.ascontiguousarray(vec[t]).tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000]), pa.array(ids[t]), pa.array(sizes[t].astype(np.int32)), points.cast(pa.binary())], names=["key", "id", "n", "point"])
+                rows = points[texts[k : k + 100_000]].longs()
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000]), *map(pa.array, rows)], names=["key", "id", "size", "low", "high"])
 
-    points = own.select("id", "n", "words").mapInArrow(emit, "key bigint, id bigint, n int, point binary")
+    points = own.select("id", "n", "words").mapInArrow(emit, "key bigint, id bigint, size bigint, low bigint, high bigint")
     sorted_points = points.repartition("key").sortWithinPartitions("key")
     found = cut(sorted_points.mapInArrow(_forest(threshold), "a bigint, b bigint, key bigint, block binary"))
     release(spark)
