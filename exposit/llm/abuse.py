@@ -43,6 +43,8 @@ PHRASES = {
         ugly face uglier {y} kill the channel {x}
         who let this {x} near a {y}
         nobody likes you {x}
+        just another {x} with a {y}
+        * you {x}
         that is all i have to say to you
         has more brain cells than the {x} who made this
         your whole family must be as dumb as you
@@ -105,6 +107,7 @@ PHRASES = {
         would let you do dirty things to me in the {y}
         my onlyfriends page has what he won t show you
         private show tonight link in profile
+        hot naked girls in my profile free cams
     """,
 }
 #: Insults beside the seed list's, and harmless phrases with the same words.
@@ -184,7 +187,7 @@ _CUT = re.compile(r"[.!?…。！？,;:]+(?=\s|$)|\n")
 
 
 def _phrase_regex(phrase: str) -> re.Pattern:
-    parts = [r"(?:\*|[^\W_]+)(?: (?:\*|[^\W_]+)){0,2}?" if w.startswith("{") else rf"(?:{w}|\*)" for w in phrase.split()]
+    parts = [r"(?:\*|[^\W_]+)(?: (?:\*|[^\W_]+)){0,2}?" if w.startswith("{") else rf"(?:{re.escape(w)}|\*)" for w in phrase.split()]
     return re.compile(r"(?:^| )" + " ".join(parts) + r"(?: |$)")
 
 
