@@ -1,0 +1,122 @@
+"""Forms of personal information: they label spans for training, and check and trim the spans that the trained model finds."""
+
+from __future__ import annotations
+
+import random
+import re
+
+KINDS = ("email", "phone", "idnum", "address", "name")
+_Z = "[​-‏⁠­﻿]?"
+_AT = r"(?:\s?@\s?|\s?[\[({<]\s?at\s?[\])}>]\s?)"
+_DOT = r"(?:\.|\s?[\[({<]\s?dot\s?[\])}>]\s?)"
+_LABEL = r"[^\W_](?:[\w-]*[^\W_])?"
+_LOCAL = r"[^\W_](?:[\w.+%​­-]*[\w+])?"
+EMAIL = re.compile(rf"{_LOCAL}(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[a-z]{{2,12}}(?![\w@])|\sat\s{_LABEL}(?:\sdot\s{_LABEL})*\sdot\s[a-z]{{2,12}}(?!\w))", re.I)
+PHONE = re.compile(
+    r"(?<![\w.,/:#-])(?:"
+    r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ ./-]?\d){6,12}"
+    r"|(?:1[ .-])?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}"
+    r"|(?:1[ .-])?[2-9]\d{2}[ .-]\d{3}[ .-]\d{4}"
+    r"|\d(?: \d){8,11}"
+    r"|0\d(?:[ .-]\d\d){4}"
+    r"|0\d{2,4}[ /-]\d{4,6}(?:[ -]\d{2,5})?"
+    r"|[2-9]\d{9}"
+    r")(?![\w]|[.:,/-]\d)"
+)
+IDNUM = re.compile(
+    r"(?<![\w.,/:#+-])(?:\d{3}[ -]00[ -]\d{4}|\d{3}-\d{2}-\d{4}|[A-Z]{1,2}\d{7,9}|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-Z]|\d{4}-\d{3}-\d{4}-\d|[A-Z]\d{3}-\d{4}-\d{4})(?![\w-]|[.:,/]\d)",
+    re.I,
+)
+#: Words for streets and for units.
+STREETS = "Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Drive|Dr|Court|Ct|Terrace|Ter|Boulevard|Blvd|Way|Place|Pl|Square|Close|Crescent|Row|Parkway|Hill"
+UNITS = "Apartment|Apt|Flat|Unit|Suite|Ste|Room|Floor"
+ADDRESS = re.compile(
+    rf"(?<![\w.,:/#+-])(?:\d{{1,5}}[a-z]? (?:[^\W\d_][\w'’]+ ){{1,3}}(?:{STREETS})\b(?:\.?,? (?:{UNITS})\.? ?#?\w{{1,4}}\b|\.?,? ?#\w{{1,4}}\b)?"
+    r"|[^\W\d_][^\W\d_-]*(?:stra(?:ß|ss)e|str\.|weg|gasse|platz|allee) ?\d{1,4}[a-z]?(?!\w)"
+    r"|(?:Calle|Avenida|Plaza|Paseo|Rua|Via|Viale|Piazza)(?: (?:de|del|la|las|los|da|do|das|dos|della|dei))* (?!de )[^\W\d_]+(?: [^\W\d_]+)?,?(?: n[ºo°.]+)? ?\d{1,4}[a-z]?\b"
+    r"|\d{1,4}(?: ?(?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|impasse|quai|all[ée]e)(?: (?:de|du|des|la|le|les))* (?:[dl]['’])?[^\W\d_]+"
+    r"|[^\W\d_]+(?:straat|laan|gracht|gatan|vägen) \d{1,4}[a-z]?\b"
+    r")",
+    re.I,
+)
+#: Written around a person's name, with the name's place as {}.
+FRAMES = (
+    "greetings from {}", "ask for {} at the desk", "i went to school with {}", "signed: {}", "is that {} in the back row",
+    "shout out to my old boss {}", "my name is {} and i worked on it", "regards, {}", "{} taught me this years ago",
+)
+_W = r"[^\W\d_](?:['’]?[^\W\d_]){1,20}"
+_NAME = rf"(?:{_W},? (?:[^\W\d_]\.? )?{_W})"
+_FRAMED = [re.compile(rf"(?<!\w){re.escape(f).replace(re.escape('{}'), f'({_NAME})')}(?!\w|['’]\w)", re.I) for f in FRAMES]
+_NAMED = re.compile(rf"(?<![\w@]){_NAME}(?!\w)")
+_NO_NAME = frozenset("the a an and my our your his her this that for you me chronicles in on at of to is it".split())
+
+REGEX = {"email": EMAIL, "phone": PHONE, "idnum": IDNUM, "address": ADDRESS}
+
+
+def is_phone(text: str, a: int, b: int) -> bool:
+    digits = sum(c.isdigit() for c in text[a:b])
+    before = text[max(0, a - 14) : a].lower()
+    return 7 <= digits <= 15 and not re.search(r"(serial|order|version|firmware|invoice|ref|isbn|ping|score|ratio|pi is|no\.|id)[ :#]*$", before)
+
+
+def names_in(text: str, given: frozenset[str], family: frozenset[str]) -> list[tuple[int, int]]:
+    """Spans of full names: a listed given name beside a listed family name, or two words where a frame expects a name."""
+    out = []
+    for frame in _FRAMED:
+        for m in frame.finditer(text):
+            words = [w.strip(".,").lower() for w in m[1].split()]
+            if not _NO_NAME & set(words):
+                out.append(m.span(1))
+    for m in _NAMED.finditer(text):
+        words = [w.strip(".,").lower() for w in m[0].split()]
+        if words[0] in given and words[-1] in family and not m[0].split()[0].endswith(",") or words[0] in family and words[-1] in given and "," in m[0]:
+            out.append(m.span())
+    return out
+
+
+def spans(text: str, given: frozenset[str] = frozenset(), family: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
+    """Non-overlapping labelled spans; an earlier kind goes before a later one."""
+    out: list[tuple[int, int, str]] = []
+
+    def add(a: int, b: int, kind: str) -> None:
+        if all(b <= x or a >= y for x, y, _ in out):
+            out.append((a, b, kind))
+
+    for m in EMAIL.finditer(text):
+        add(*m.span(), "email")
+    for m in IDNUM.finditer(text):
+        add(*m.span(), "idnum")
+    for m in PHONE.finditer(text):
+        if is_phone(text, *m.span()):
+            add(*m.span(), "phone")
+    for m in ADDRESS.finditer(text):
+        add(*m.span(), "address")
+    for a, b in names_in(text, given, family):
+        add(a, b, "name")
+    return sorted(out)
+
+
+_VOWELS, _CONSONANTS = "aeiou", ("b", "br", "c", "d", "dr", "f", "g", "gr", "h", "j", "k", "l", "m", "n", "p", "qu", "r", "s", "st", "t", "th", "v", "w", "y", "z")
+_ENDS = ("n", "r", "s", "l", "t", "k", "", "", "ck", "nd", "rg", "th")
+
+
+def invented(rng: random.Random, syllables: int) -> str:
+    return "".join(rng.choice(_CONSONANTS) + rng.choice(_VOWELS) + (rng.choice(_ENDS) if rng.random() < 0.5 else "") for _ in range(syllables)).capitalize()
+
+
+def renamed(text: str, marks: list[tuple[int, int, str]], rng: random.Random, given: list[str], family: list[str]) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text with every name span replaced by another name, invented or listed, in some order and case."""
+    out, new, last = "", [], 0
+    for a, b, kind in marks:
+        out += text[last:a]
+        item = text[a:b]
+        if kind == "name":
+            g = rng.choice(given) if rng.random() < 0.6 else invented(rng, rng.choice((1, 2, 2)))
+            f = rng.choice(family) if rng.random() < 0.4 else invented(rng, rng.choice((2, 2, 3)))
+            middle = f" {rng.choice('ABCDEFGHIJKLMNOPRSTVW')}." if rng.random() < 0.2 else ""
+            item = f"{f}, {g}" if rng.random() < 0.15 else f"{g}{middle} {f}"
+            item = rng.choice((str, str, str, str.lower, str.upper))(item)
+        new.append((len(out), len(out) + len(item), kind))
+        out += item
+        last = b
+    return out + text[last:], new

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposit.llm import abuse, language, neardup, packing, quality, splits, tokens, topn
+from exposit.llm import abuse, language, neardup, packing, pii, quality, splits, tokens, topn
 from exposit.sources.tables import load
 
 
@@ -24,6 +24,17 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups_of(links, members).join(authors, F.col("key") == F.col("comment_id")).select("comment_id", "author_channel_id", "class", "group", "links")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    comments = load(spark, sf_dir, "comments").where(F.col("comment_id").isNotNull())
+    return pii.entities(comments, "comment_id", "text").select("comment_id", "kind", "item").distinct()
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every comment's text with typed placeholders."""
+    comments = load(spark, sf_dir, "comments").where(F.col("comment_id").isNotNull())
+    return pii.redacted(comments, "comment_id", "text").dropDuplicates(["comment_id"])
+
+
 def _language_model(spark: SparkSession, sf_dir: str) -> tuple[language.Model, DataFrame]:
     """The model fitted on declared comments, and (comment_id, text, code) of every declared comment."""
     declared = load(spark, sf_dir, "comment_langs").select("comment_id", language.label_code(F.col("lang")).alias("code"))
@@ -105,7 +116,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.join(judged.select("doc_id", "nearest", "distance", "contributions", "kind"), "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_segments, p4_found, p4_splits, p5_found, p5_scores, p5_rates, p6_found, p7_ids, p8_pack, p9_found, p9_statistics)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_redacted, p3_found, p3_segments, p4_found, p4_splits, p5_found, p5_scores, p5_rates, p6_found, p7_ids, p8_pack, p9_found, p9_statistics)}
 
 SQL: dict[str, str] = {
     "p6_found": """
