@@ -66,8 +66,30 @@ class Network:
         self.inner = {d: np.ascontiguousarray(w[f"U{d}"] * half) for d in "fb"}
         self.out = {d: w[f"O{d}"] for d in "fb"}
         self.bias, self.trans, self.start, self.end = w["o"], w["trans"], w["start"], w["end"]
-        # No tag but O can win anywhere where all its scores lie this far below O's: each step's transition gains at most so much.
-        self.gain = float(max(self.trans.max() - self.trans[0, 0], self.start.max() - self.start[0] + max(0, self.end.max() - self.end[0]), 0)) * 2
+        # An I tag follows only a B or I tag of its kind.
+        for k in range(2, len(TAGS), 2):
+            allowed = np.zeros(len(TAGS), bool)
+            allowed[[k - 1, k]] = True
+            self.trans[~allowed, k] = self.start[k] = -1e4
+        # A stretch of other tags can win over O only if its scores beat O's by more than entering and leaving it cost; inside it each step's
+        # transition gains at most ``inside``.
+        over = self.trans - self.trans[0, 0]
+        self.inside = float(over[1:, 1:].max())
+        self.around = float(max(over[0, 1:].max(), (self.start[1:] - self.start[0]).max()) + max(over[1:, 0].max(), (self.end[1:] - self.end[0]).max()))
+
+    def may_have(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """For each of the texts (T, B, tags) of these sizes: False only if all O is its best path, as no stretch's bound is above 0."""
+        other = scores[:, :, 1].copy()
+        for k in range(2, len(TAGS)):
+            np.maximum(other, scores[:, :, k], out=other)
+        other -= scores[:, :, 0]
+        other += self.inside
+        other[np.arange(len(other))[:, None] >= sizes] = -1e3
+        total = np.cumsum(other, 0, dtype=np.float64)
+        lowest = np.zeros_like(total)
+        np.minimum.accumulate(total[:-1], 0, out=lowest[1:])
+        np.minimum(lowest, 0, out=lowest)
+        return (total - lowest).max(0) - self.inside + self.around > -1e-3
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
         """(T, B, tags) for a (T, B) array of characters."""
@@ -96,10 +118,10 @@ class Network:
                 out[t] += state @ tags
         return out
 
-    def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
-        """The best tag path of each text. Where no other tag can win anywhere, the path is all O without a search."""
-        paths = [np.zeros(len(s), np.int8) for s in scores]
-        todo = sorted((i for i, s in enumerate(scores) if len(s) and (s[:, 1:].max(1) - s[:, 0]).max() + self.gain > 0), key=lambda i: len(scores[i]))
+    def decode(self, scores: list[np.ndarray | None]) -> list[np.ndarray]:
+        """The best tag path of each text; of a text without scores, which can't have another, all O."""
+        paths = [np.zeros(0 if s is None else len(s), np.int8) for s in scores]
+        todo = sorted((i for i, s in enumerate(scores) if s is not None and len(s)), key=lambda i: len(scores[i]))
         for k in range(0, len(todo), BATCH):
             part = todo[k : k + BATCH]
             sizes = np.array([len(scores[i]) for i in part])
@@ -113,8 +135,9 @@ class Network:
             last[sizes == 1] = v[sizes == 1]
             for t in range(1, steps):
                 x = v[:, :, None] + self.trans
-                back[t] = x.argmax(1)
-                v = x.max(1) + e[t]
+                best = x.argmax(1)
+                back[t] = best
+                v = np.take_along_axis(x, best[:, None, :], 1)[:, 0] + e[t]
                 done = sizes == t + 1
                 last[done] = v[done]
             tag = (last + self.end).argmax(1)
@@ -146,7 +169,7 @@ def tag(net: Network, texts: list[str]) -> list[np.ndarray]:
     ids = [char_ids(t) for t in texts]
     windows = [(i, k) for i, x in enumerate(ids) for k in range(0, max(1, len(x) - (WINDOW - STEP)), STEP)]
     windows.sort(key=lambda w: min(WINDOW, len(ids[w[0]]) - w[1]))
-    scores: list[np.ndarray] = [None] * len(ids)  # type: ignore[list-item]
+    scores: list[np.ndarray | None] = [None] * len(ids)
     sums: dict[int, np.ndarray] = {}
     weight = _weight()
     for k in range(0, len(windows), BATCH):
@@ -157,18 +180,27 @@ def tag(net: Network, texts: list[str]) -> list[np.ndarray]:
             x = ids[i][at : at + WINDOW]
             block[: len(x), b] = x
         got = net.scores(block)
+        some = net.may_have(got, np.array([len(ids[i]) - at for i, at in part]))
         for b, (i, at) in enumerate(part):
             n = min(WINDOW, len(ids[i]) - at)
             if len(ids[i]) <= WINDOW:
-                scores[i] = got[:n, b].copy()
+                if some[b]:
+                    scores[i] = got[:n, b].copy()
             else:
                 if i not in sums:
                     sums[i] = np.zeros((len(ids[i]), len(TAGS) + 1), np.float32)
                 sums[i][at : at + n, :-1] += got[:n, b] * weight[:n, None]
                 sums[i][at : at + n, -1] += weight[:n]
-    for i, s in sums.items():
-        scores[i] = s[:, :-1] / s[:, -1:]
-    return net.decode(scores)
+    long = sorted(sums, key=lambda i: len(sums[i]))
+    for k in range(0, len(long), BATCH // 4):
+        part = long[k : k + BATCH // 4]
+        sizes = np.array([len(sums[i]) for i in part])
+        block = np.zeros((int(sizes.max()), len(part), len(TAGS)), np.float32)
+        for b, i in enumerate(part):
+            block[: sizes[b], b] = sums[i][:, :-1] / sums[i][:, -1:]
+        for b in np.flatnonzero(net.may_have(block, sizes)):
+            scores[part[b]] = block[: sizes[b], b].copy()
+    return [p if len(p) else np.zeros(len(x), np.int8) for p, x in zip(net.decode(scores), ids)]
 
 
 def raw_spans(path: np.ndarray) -> list[tuple[int, int, str]]:
