@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from exposit.functions import scalars as X
 from exposit.operators import descriptive as D
-from exposit.operators import metrics, ranks, retrieval, split, store, text
+from exposit.operators import generate, ladder, metrics, ranks, retrieval, split, store, text
 from exposit.plans import corpus
 from exposit.sources.pages import parse_threads as parse
-from exposit.sources.tables import load
+from exposit.sources.tables import cut, load, scratch
+from exposit.streaming import collect
 
 r6 = D.r6
 
@@ -314,3 +315,72 @@ def scaled_features(s: SparkSession, d: str) -> DataFrame:
     names = ("age_pct", "log_age_h", "log_views", "log_video_comments", "is_short")
     long = f.select(F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("double"))])).alias("feature", "v"))
     return long.groupBy("feature").agg(r6(F.avg("v")).alias("mean"), r6(F.stddev_pop("v")).alias("std"), r6(F.coalesce(F.try_divide(F.max("v") - F.avg("v"), F.stddev_pop("v")), F.lit(0.0))).alias("max_scaled"))
+
+
+EXPOSURE = ["age_pct", "log_age_h", "log_views", "log_video_comments", "is_short"]
+LENGTH = ["log_chars", "log_words", "has_question", "has_caps_run"]
+
+
+def _ladder_input(s: SparkSession, d: str, tfidf: bool, embed: bool) -> DataFrame:
+    """Features, target and split of every comment in the feature base; its vector is the one its hash points at."""
+    f = _length(_exposure(corpus.featured(s, d)))
+    parts = split.nested_split(f, "channel")
+    df = ladder.scaled(cut(f.join(parts, "channel").select("comment_id", "video_id", "channel", "text", "y", "like_count", "split", *EXPOSURE, *LENGTH)), [*EXPOSURE, *LENGTH])
+    if tfidf:
+        df = df.join(ladder.sparse_tfidf(df.select("comment_id", "text", "split"), "comment_id", "text", 5, 500, "split = 'fit'"), "comment_id")
+    if embed:
+        v = load(s, d, "embeddings")
+        df = ladder.with_vectors(df.withColumn("vec_id", F.pmod(F.xxhash64("comment_id"), F.lit(v.count()))), v, "vec_id", "embedding")
+    return cut(df.drop("text"))
+
+
+def _rungs(*names: str) -> list[tuple[str, list[str], bool]]:
+    every = {"exposure": EXPOSURE, "length": [*EXPOSURE, *LENGTH], "tfidf": [*EXPOSURE, *LENGTH, "tfidf"], "embed": [*EXPOSURE, *LENGTH, "embedding"]}
+    return [(n, every[n], n == "tfidf") for n in names]
+
+
+def ridge_ladder(s: SparkSession, d: str) -> DataFrame:
+    rows, _ = ladder.run(_ladder_input(s, d, True, True), _rungs("exposure", "length", "tfidf", "embed"))
+    return s.createDataFrame(rows, "rung string, alpha double, n_videos bigint, rho double, rho_lo double, rho_hi double, auc double, auc_lo double, auc_hi double, worse boolean")
+
+
+def gate_report(s: SparkSession, d: str) -> DataFrame:
+    rows, per_video = ladder.run(_ladder_input(s, d, False, True), _rungs("length", "embed"), 200)
+    return s.createDataFrame(ladder.gate(rows, per_video, "length"), "rung string, delta double, lo double, hi double, p_gt_0 double, passes boolean, text_share_of_auc double")
+
+
+def auc_share_split(s: SparkSession, d: str) -> DataFrame:
+    rows, _ = ladder.run(_ladder_input(s, d, False, True), _rungs("exposure", "length", "embed"), 50)
+    parts = ladder.share_split(*[r["auc"] or 0.5 for r in rows])
+    return s.createDataFrame([(k, round(v, 6)) for k, v in parts.items()], "part string, share double")
+
+
+def retrieval_score_table(s: SparkSession, d: str) -> DataFrame:
+    """Retrieval scores at k = 5 by label, and the ratio of their mean to that of all with its interval."""
+    v = _vectors(s, d)
+    e = cut(retrieval.estimates(retrieval.nearest(v, v, "vec_id", "embedding", "likes", 5, skip_self=True), 5).join(v, F.col("query") == F.col("vec_id")).select("vec_id", "likes", "estimate"))
+    table = generate.score_table(e, "likes", "estimate")
+    ratio = metrics.ratio_ci(e.where("likes >= 5"), e, "vec_id", "estimate", 50)
+    return table.crossJoin(F.broadcast(ratio))
+
+
+def stream_collect(s: SparkSession, d: str) -> DataFrame:
+    """All observations as raw pages of up to 100, streamed into an observation log; the state it ends in."""
+    c = load(s, d, "comments").where("comment_id is not null")
+    thread = F.struct(F.struct(F.col("reply_count").cast("int").alias("totalReplyCount"), F.struct(F.col("comment_id").alias("id"), F.struct(F.col("text").alias("textDisplay"), F.col("like_count").cast("int").alias("likeCount"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt"), F.col("updated_at").alias("updatedAt"), F.struct(F.col("author_channel_id").alias("value")).alias("authorChannelId")).alias("snippet")).alias("topLevelComment")).alias("snippet"))
+    # The page of a comment goes by its hash within video and time of fetching, so a hot video's pages are made by many tasks.
+    size = c.groupBy("video_id", "fetched_at").agg(F.ceil(F.count(F.lit(1)) / 50.0).alias("pages"))
+    paged = c.join(size, ["video_id", "fetched_at"]).withColumn("no", F.pmod(F.xxhash64("comment_id"), "pages"))
+    pages = paged.groupBy("video_id", "fetched_at", "no").agg(F.to_json(F.struct(F.collect_list(thread).alias("items"))).alias("page")).drop("no")
+    folder = scratch(s, "collect")
+    pages.write.parquet(f"{folder}/pages")
+    stream = s.readStream.schema(pages.schema).option("maxFilesPerTrigger", 64).parquet(f"{folder}/pages")
+    collect.collect(stream, folder)
+    return collect.state(folder, s).select("comment_id", "video_id", "like_count", "reply_count", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched_at"))
+
+
+def generate_stub(s: SparkSession, d: str) -> DataFrame:
+    """Prompts with and without top-liked examples for every finished video, completed by the stub."""
+    f = corpus.featured(s, d).where(F.col("y") >= 0.95).select("comment_id", "text")
+    v = corpus.videos(s, d).where("status = 'done'").select("video_id", "title")
+    return generate.complete(generate.prompts(f, v, 5, 120, 2)).select("video_id", "condition", "sample", F.length("prompt").alias("prompt_chars"), "text", "tokens", "cost_usd")

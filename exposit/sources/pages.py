@@ -18,12 +18,13 @@ THROTTLE = ("rateLimitExceeded", "userRateLimitExceeded")
 TERMINAL = ("commentsDisabled", "videoNotFound", "forbidden", "channelNotFound", "playlistNotFound")
 
 
-def parse_threads(pages: DataFrame, column: str) -> DataFrame:
-    """Comments of raw JSON pages. The displayed text goes before the original unless it is empty; without text or date a thread is dropped."""
+def parse_threads(pages: DataFrame, column: str, keep: list[str] | None = None) -> DataFrame:
+    """Comments of raw JSON pages. The displayed text goes before the original unless it is empty; without text or date a thread is dropped. ``keep`` are columns of the page to keep."""
     item = F.explode(F.from_json(F.col(column), PAGE)["items"]).alias("t")
     c = F.col("t.snippet.topLevelComment")
     s = c["snippet"]
-    flat = pages.select(item).select(
+    flat = pages.select(*(keep or []), item).select(
+        *(keep or []),
         c["id"].alias("comment_id"),
         s["authorChannelId"]["value"].alias("author_channel_id"),
         F.coalesce(F.nullif(s["textDisplay"], F.lit("")), F.nullif(s["textOriginal"], F.lit(""))).alias("text"),

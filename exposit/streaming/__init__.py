@@ -1 +1 @@
-"""See the modules of this package."""
+"""Incremental collection with Structured Streaming."""
