@@ -312,14 +312,24 @@ def fit_on(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Model:
     return fit(written() + found)
 
 
-def kind_of(p: np.ndarray, least: float = 0.5) -> np.ndarray:
-    """One kind per document: the likeliest at ``least`` or more; hate goes before abuse."""
+#: The least probability of a flagged document's likeliest sentence: many harmless sentences alone make no case of a long document.
+PEAK = 0.25
+
+
+def kind_of(p: np.ndarray, peak: np.ndarray, least: float = 0.5) -> np.ndarray:
+    """One kind per document: the likeliest of those at ``least`` or more with a sentence at ``PEAK``; hate goes before abuse."""
+    p = np.where(peak >= PEAK, p, 0.0)
     best = p.argmax(1)
     hate = (p[:, 1] >= least) & (best == 0)
     best = np.where(hate, 1, best)
     return np.where(p.max(1) >= least, np.array(KINDS, object)[best], None)
 
 
+def peaks(p: np.ndarray, owner: np.ndarray, many: int) -> np.ndarray:
+    """The largest sentence probability of each document; every document has a sentence, in order."""
+    return np.maximum.reduceat(p, np.searchsorted(owner, np.arange(many)), axis=0) if many else p
+
+
 def score(df: DataFrame, key: str, text: str, model: Model, least: float = 0.5) -> DataFrame:
     """(key, abuse, hate, sexual double, kind string, sentence int) for every row.
 
@@ -338,7 +348,7 @@ def score(df: DataFrame, key: str, text: str, model: Model, least: float = 0.5)
             feature, where, owner, order = features(list(texts), ids)
             p = own.sentences(feature, where, len(owner))
             whole = noisy_or(p, owner, len(texts))
-            kind = kind_of(whole, least)
+            kind = kind_of(whole, peaks(p, owner, len(texts)), least)
             place: list[int | None] = [None] * len(texts)
             flagged = np.flatnonzero(pd.notna(kind))
             for d in flagged:

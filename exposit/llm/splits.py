@@ -41,7 +41,7 @@ def canonical_handle(raw: Column) -> Column:
     # An address: what follows its first '@', or else its last part; then no path, query or fragment.
     tail = F.when(bare.contains("/@"), F.regexp_extract(bare, r"/@([^/?#]*)", 1)).when(bare.rlike(r"^(https?:)?//|^[a-z0-9.-]+/"), F.regexp_extract(bare, r"^(?:https?:)?(?://)?[^/?#]+/(?:c/|user/|channel/)?([^/?#]*)", 1)).otherwise(F.regexp_replace(bare, r"[/?#].*$", ""))
     name = F.regexp_replace(tail, r"^@+", "")
-    return F.when(~name.isin(*PLACEHOLDERS), name)
+    return F.when(~name.isin(*PLACEHOLDERS) & ~bare.isin(*PLACEHOLDERS), name)
 
 
 def spanning_forest(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -> tuple[DataFrame, DataFrame]:
