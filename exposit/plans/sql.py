@@ -91,6 +91,7 @@ SQL = {
     "rank_upsert": f"WITH {RANKS} SELECT * FROM rr",
     "new_comments": "WITH g AS (SELECT comment_id, min(fetched_at) AS first_at FROM comments WHERE comment_id IS NOT NULL GROUP BY 1), n AS (SELECT CAST(first_at AS date) AS d, count(*) AS c FROM g GROUP BY 1), o AS (SELECT CAST(fetched_at AS date) AS d, count(*) AS c FROM comments WHERE comment_id IS NOT NULL GROUP BY 1) SELECT strftime(o.d, '%Y-%m-%d') AS day, o.c AS observed, coalesce(n.c, 0) AS new FROM o LEFT JOIN n ON o.d = n.d",
     "parse_threads": f"{C} SELECT comment_id, author_channel_id, length(text) AS chars, like_count, coalesce(reply_count, 0) AS reply_count, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at FROM cc WHERE text <> '' AND published_at IS NOT NULL",
+    "stream_collect": "SELECT comment_id, video_id, like_count, rc AS reply_count, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at FROM (SELECT *, coalesce(reply_count, 0) AS rc, row_number() OVER (PARTITION BY comment_id ORDER BY fetched_at DESC NULLS LAST, like_count DESC NULLS LAST, coalesce(reply_count, 0) DESC) k FROM comments WHERE comment_id IS NOT NULL AND text <> '' AND published_at IS NOT NULL) WHERE k = 1",
     "knn_estimate": f"WITH {NEAR} SELECT q AS vec_id, round(avg(likes), 6) AS estimate FROM nn WHERE k <= 5 GROUP BY 1",
     "knn_pools_ratio": f"WITH {NEAR}, cut AS (SELECT quantile_cont(likes, 0.9) AS c FROM e), est AS (SELECT q, kk.k, avg(likes) AS x FROM nn, (VALUES (1), (5), (20)) kk(k) WHERE nn.k <= kk.k GROUP BY 1, 2), g AS (SELECT est.k, avg(CASE WHEN e.likes >= (SELECT c FROM cut) THEN x END) AS a, avg(x) AS b FROM est JOIN e ON e.vec_id = est.q GROUP BY 1) SELECT k, round(a, 6) AS top_mean, round(b, 6) AS all_mean, round(a / greatest(b, 1e-9), 6) AS ratio FROM g",
     "estimator_skill": f"WITH {NEAR}, est AS (SELECT q, round(avg(likes), 9) AS x FROM nn WHERE k <= 5 GROUP BY 1), j AS (SELECT e.likes, est.x, rank() OVER (ORDER BY e.likes) + (count(*) OVER (PARTITION BY e.likes) - 1) / 2.0 AS ra, rank() OVER (ORDER BY est.x) + (count(*) OVER (PARTITION BY est.x) - 1) / 2.0 AS rb FROM est JOIN e ON e.vec_id = est.q) SELECT 'all' AS pool, count(*) AS n, round(corr(ra, rb), 6) AS rho FROM j",
