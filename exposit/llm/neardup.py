@@ -291,6 +291,24 @@ def _block_join(threshold: float):  # noqa: ANN202
     return run
 
 
+def frequent_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(words, sorted, their counts, what any other word's count is at most) of the most frequent words, at most ``most``.
+
+    A histogram of the counts' size gives the least count to take, so only the words taken go to the driver.
+    """
+    size = F.floor(F.log2(F.col("count")) * 16).cast("int")
+    hist = sorted(counts.groupBy(size.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["b"])
+    taken, least = 0, None
+    for r in hist:
+        if taken + r["n"] > most:
+            break
+        taken, least = taken + r["n"], r["b"]
+    rows = counts.where(size >= least).collect() if least is not None else []
+    rows.sort(key=lambda r: r["w"])
+    rest = 1 if least is None and not hist else int(2 ** ((hist[0]["b"] + 1 if least is None else least) / 16)) + 1
+    return np.array([r["w"] for r in rows], np.int64), np.array([r["count"] for r in rows], np.int64), rest
+
+
 def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.75, min_words: int = 20, tree: int = TREE) -> tuple[DataFrame, DataFrame]:
     """(links, members) of the texts of ``df``.
 
@@ -305,11 +323,9 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.75,
     members = texts.select("key", "digest").distinct()
     own = written(texts.dropDuplicates(["digest"]).select("digest", "id", "n", "words"), "classes")
     counts = own.select(F.explode("words").alias("w")).groupBy("w").count()
-    frequent = counts.where("count > 1").orderBy(F.desc("count"), "w").limit(FREQUENT).collect()
     total = own.count()
-    frequent.sort(key=lambda r: r["w"])
-    known = spark.sparkContext.broadcast((np.array([r["w"] for r in frequent], np.int64), np.array([r["count"] for r in frequent], np.int64)))
-    rest = int(min((r["count"] for r in frequent), default=1)) if len(frequent) == FREQUENT else 1
+    have, much, rest = frequent_words(cut(counts), FREQUENT)
+    known = spark.sparkContext.broadcast((have, much))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, much = known.value
