@@ -48,6 +48,8 @@ def labelled(texts: list[str], given: list[str], family: list[str], seed: int =
     for t, _ in rng.sample(plain, min(len(plain), 1500)):  # frames with a place, a thing or a single name are no names
         word = rng.choice((invented(rng, 2), rng.choice(given), "the shop", "the old " + invented(rng, 2), "everyone in " + invented(rng, 2)))
         out.append((f"{rng.choice(FRAMES[:1] + FRAMES[1:2]).format(word)}{rng.choice(('. ', ' - ', chr(10)))}{t}", []))
+    for t, _ in rng.sample(plain, min(len(plain), 1500)):  # other case is no sign of a name
+        out.append((rng.choice((t.upper, t.title))(), []))
     out += plain
     rng.shuffle(out)
     return out
