@@ -1,6 +1,6 @@
 """Training of the tagger in ``pii`` by backpropagation through time and the CRF's forward-backward algorithm, in numpy.
 
-    python -m exposit.llm.pii_train COMMENTS.parquet KNOWN_NAMES.parquet [MINUTES [WORKERS]]
+    python -m exposit.llm.pii_train COMMENTS.parquet KNOWN_NAMES.parquet [MINUTES [WORKERS [continue]]]
 
 Labelled spans: a bounded sample of comments, in which the forms of ``pii_rules`` mark spans; names are replaced by
 other names, invented ones too, so that the tagger learns their surroundings and not a list. All comments with a marked span are
@@ -188,14 +188,14 @@ def _shard(job: tuple[dict[str, np.ndarray], int]) -> tuple[float, dict[str, np.
     return gradients(*encoded([_ITEMS[i] for i in rng.integers(0, len(_ITEMS), BATCH)], rng), p)
 
 
-def train(items: list, seconds: float, seed: int = 1, rate: float = 8e-3, steps: int | None = None, workers: int = 1, log=lambda *_: None) -> dict[str, np.ndarray]:  # noqa: ANN001
-    """Adam with a falling rate, for so many seconds or steps; each step averages the gradients of ``workers`` batches."""
+def train(items: list, seconds: float, seed: int = 1, rate: float = 8e-3, steps: int | None = None, workers: int = 1, start: dict[str, np.ndarray] | None = None, log=lambda *_: None) -> dict[str, np.ndarray]:  # noqa: ANN001
+    """Adam with a falling rate, for so many seconds or steps; each step averages the gradients of ``workers`` batches. ``start`` goes on from weights."""
     import multiprocessing
 
     _ITEMS[:] = items
     pool = multiprocessing.get_context("fork").Pool(workers) if workers > 1 else None
     rng = np.random.default_rng(seed)
-    p = initial(seed)
+    p = start or initial(seed)
     m, v = ({n: np.zeros_like(x) for n, x in p.items()} for _ in range(2))
     began, n, running = time.time(), 0, None
     while (done := (n / steps if steps else (time.time() - began) / seconds)) < 1:
@@ -238,7 +238,8 @@ def main(args: list[str]) -> None:
     by = {k: [r["name"] for r in names if r["name_kind"] == k] for k in ("given", "family")}
     items = labelled(texts, by["given"], by["family"])
     held = len(items) // 10
-    p = train(items[held:], 60 * float(args[2] if len(args) > 2 else 6), workers=int(args[3]) if len(args) > 3 else 1, log=lambda s: print(s, flush=True))
+    start = {k: v.astype(np.float32) for k, v in np.load(WEIGHTS).items()} if "continue" in args else None
+    p = train(items[held:], 60 * float(args[2] if len(args) > 2 else 6), seed=2 if start else 1, rate=3e-3 if start else 8e-3, start=start, workers=int(args[3]) if len(args) > 3 else 1, log=lambda s: print(s, flush=True))
     print(quality(p, items[:held]))
     np.savez_compressed(WEIGHTS, **{k: v.astype(np.float16) for k, v in p.items()})
 
