@@ -298,17 +298,35 @@ def pairwise_cosine(s: SparkSession, d: str) -> DataFrame:
 
 
 def vocabulary_topn(s: SparkSession, d: str) -> DataFrame:
+    """The 500 most frequent terms of ASCII comments, which SQL can repeat; ``vocabulary_all`` is over all comments."""
     c = corpus.comments(s, d).where(~X.non_ascii(F.col("text"))).select("comment_id", "text")
     return text.vocabulary(text.term_counts(c, "comment_id", F.col("text"), 2), 5, 500)
 
 
 def tfidf_weights(s: SparkSession, d: str) -> DataFrame:
-    """Weights of the 500 most frequent terms in ASCII comments."""
+    """Weights of the 500 most frequent words in ASCII comments, which SQL can repeat; ``tfidf_all`` is over all comments."""
     c = corpus.comments(s, d).where(~X.non_ascii(F.col("text"))).select("comment_id", "text")
     counts = text.term_counts(c, "comment_id", F.col("text"))
     return text.tfidf(counts, text.vocabulary(counts, 5, 500), "comment_id", c.count()).select("comment_id", "term", r6(F.col("weight")).alias("weight"))
 
 
+def _all_terms(s: SparkSession, d: str) -> DataFrame:
+    """The counts of the words and pairs of all comments, without accents."""
+    return text.term_counts(text.plain(corpus.comments(s, d), "comment_id", "text"), "comment_id", F.col("text"), 2)
+
+
+def vocabulary_all(s: SparkSession, d: str) -> DataFrame:
+    """Words and pairs of all comments in any script, up to the stated limit of the vocabulary."""
+    return text.vocabulary(_all_terms(s, d), 5, text.MAX_FEATURES)
+
+
+def tfidf_all(s: SparkSession, d: str) -> DataFrame:
+    """Weights of the terms of ``vocabulary_all`` in all comments."""
+    counts = _all_terms(s, d)
+    vocab = cut(text.vocabulary(counts, 5, text.MAX_FEATURES))
+    return text.tfidf(counts, vocab, "comment_id", corpus.comments(s, d).count()).select("comment_id", "term", r6(F.col("weight")).alias("weight"))
+
+
 def scaled_features(s: SparkSession, d: str) -> DataFrame:
     """Mean and population deviation of the exposure features, and the largest scaled value; a constant feature scales to 0."""
     f = _exposure(corpus.positioned(s, d))
