@@ -345,7 +345,7 @@ def _ladder_input(s: SparkSession, d: str, tfidf: bool, embed: bool) -> DataFram
     parts = split.nested_split(f, "channel")
     df = ladder.scaled(cut(f.join(parts, "channel").select("comment_id", "video_id", "channel", "text", "y", "like_count", "split", *EXPOSURE, *LENGTH)), [*EXPOSURE, *LENGTH])
     if tfidf:
-        df = df.join(ladder.sparse_tfidf(df.select("comment_id", "text", "split"), "comment_id", "text", 5, 500, "split = 'fit'"), "comment_id")
+        df = df.join(ladder.sparse_tfidf(df.select("comment_id", "text", "split"), "comment_id", "text", 5, text.MAX_FEATURES, "split = 'fit'"), "comment_id")
     if embed:
         v = load(s, d, "embeddings")
         df = ladder.with_vectors(df.withColumn("vec_id", F.pmod(F.xxhash64("comment_id"), F.lit(v.count()))), v, "vec_id", "embedding")

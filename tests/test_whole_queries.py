@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from collections import Counter
@@ -10,9 +11,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from exposit.operators import text
+from exposit.operators import ladder, text
 from exposit.plans import queries
 
+TABLES = "/root/testdata/sf0.001"
 TEXTS = ["Café crème", "cafe creme now", "CAFÉ crème 😀", "привет мир", "Привет мир й", "привет, мир!", "привет мир снова", "cafe creme", "café crème", "мир привет мир", "plain words only", None]
 
 
@@ -50,3 +52,23 @@ def test_marks_of_any_script_are_stripped(spark):
     said = ["É", "が", "й", "ｆ"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, t string")
     assert [r[0] for r in df.orderBy("i").select(text.strip_accents(F.col("t"))).collect()] == ["E", "か", "и", "f"]
+
+
+def test_the_ladder_counts_terms_without_accents(spark):
+    df = spark.createDataFrame([("a", "Café", "fit"), ("b", "cafe", "fit"), ("c", "CAFÉ new", "test")], "k string, t string, split string")
+    got = {r["k"]: r["tfidf"] for r in ladder.sparse_tfidf(df, "k", "t", 2, 10, "split = 'fit'").collect()}
+    assert {i: v.toArray().tolist() for i, v in got.items()} == {"a": [1.0], "b": [1.0], "c": [1.0]}
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_the_ladder_keeps_the_stated_vocabulary(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def seen(df, key, column, min_df, top, fit):
+        raise Seen(min_df, top)
+
+    monkeypatch.setattr(ladder, "sparse_tfidf", seen)
+    with pytest.raises(Seen) as e:
+        queries.ridge_ladder(spark, TABLES)
+    assert e.value.args == (5, 200_000)
