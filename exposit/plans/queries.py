@@ -363,7 +363,7 @@ def ridge_ladder(s: SparkSession, d: str) -> DataFrame:
 
 
 def gate_report(s: SparkSession, d: str) -> DataFrame:
-    rows, per_video = ladder.run(_ladder_input(s, d, False, True), _rungs("length", "embed"), 200)
+    rows, per_video = ladder.run(_ladder_input(s, d, True, True), _rungs("length", "tfidf", "embed"), 200)
     return s.createDataFrame(ladder.gate(rows, per_video, "length"), "rung string, delta double, lo double, hi double, p_gt_0 double, passes boolean, text_share_of_auc double")
 
 

@@ -72,3 +72,15 @@ def test_the_ladder_keeps_the_stated_vocabulary(spark, monkeypatch):
     with pytest.raises(Seen) as e:
         queries.ridge_ladder(spark, TABLES)
     assert e.value.args == (5, 200_000)
+
+
+def test_the_gate_reports_every_text_rung(spark, monkeypatch):
+    per_video = spark.createDataFrame([("v1", "c1", 0.6), ("v2", "c2", 0.7)], "video_id string, channel string, auc double")
+    monkeypatch.setattr(queries, "_ladder_input", lambda s, d, tfidf, embed: (tfidf, embed))
+
+    def run(df, rungs, n_boot):
+        assert df == (True, True)
+        return [{"rung": r[0], "auc": 0.65} for r in rungs], {r[0]: per_video for r in rungs}
+
+    monkeypatch.setattr(ladder, "run", run)
+    assert [r["rung"] for r in queries.gate_report(spark, "").collect()] == ["tfidf", "embed"]
