@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from exposit.functions import scalars as X
@@ -293,6 +293,43 @@ def estimator_skill(s: SparkSession, d: str) -> DataFrame:
     return metrics.spearman(both, "pool", "likes", "estimate").select("pool", "n", r6(F.col("rho")).alias("rho"))
 
 
+def _test_comments(s: SparkSession, d: str, ks: tuple[int, ...]) -> DataFrame:
+    """(comment_id, video_id, y, like_count, k, estimate) of the test channels' comments: mean likes of the k nearest training comments.
+
+    A comment's vector is the one its hash points at. The nearest comments lie on the nearest vectors that have any, so only vectors are
+    searched; equal dots go by vector, then by comment.
+    """
+    most = max(ks)
+    v = _vectors(s, d)
+    f = corpus.featured(s, d)
+    f = cut(f.join(split.channel_split(f, "channel"), "channel").select("comment_id", "video_id", "y", "like_count", "split", F.pmod(F.xxhash64("comment_id"), F.lit(v.count())).alias("vec_id")))
+    train = f.where("split = 'train'")
+    near = retrieval.nearest(v, v.join(train.select("vec_id").distinct(), "vec_id", "left_semi"), "vec_id", "embedding", "likes", most).select("query", F.col("ref").alias("vec_id"), "dot")
+    first = F.row_number().over(Window.partitionBy("vec_id").orderBy("comment_id"))
+    held = train.withColumn("_i", first).where(F.col("_i") <= most).select("vec_id", "comment_id", "like_count")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("dot"), "vec_id", "comment_id"))
+    found = near.join(held, "vec_id").withColumn("_i", place).where(F.col("_i") <= most).select("*", F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    est = found.where(F.col("_i") <= F.col("k")).groupBy("query", "k").agg(F.round(F.avg("like_count"), 9).alias("estimate"))
+    return cut(f.where("split = 'test'").join(est, F.col("vec_id") == F.col("query")).select("comment_id", "video_id", "y", "like_count", "k", "estimate"))
+
+
+def circularity_pools(s: SparkSession, d: str) -> DataFrame:
+    """By pool and k: the mean estimate of the top tenth of the test comments, by likes over all or by rank within the video, over that of all."""
+    t = _test_comments(s, d, (1, 5, 20))
+    least = t.where("k = 1").agg(F.percentile("like_count", 0.9).alias("cut"))
+    pools = t.crossJoin(F.broadcast(least)).select("k", "estimate", F.explode(F.create_map(F.lit("absolute"), F.col("like_count") >= F.col("cut"), F.lit("within_video"), F.col("y") >= 0.9)).alias("pool", "top"))
+    out = pools.groupBy("pool", "k").agg(F.count_if("top").alias("n_top"), F.avg(F.when(F.col("top"), F.col("estimate"))).alias("a"), F.avg("estimate").alias("b"))
+    return out.select("pool", "k", "n_top", r6(F.col("a")).alias("top_mean"), r6(F.col("b")).alias("all_mean"), r6(F.col("a") / F.greatest(F.col("b"), F.lit(1e-9))).alias("ratio"))
+
+
+def circularity_skill(s: SparkSession, d: str) -> DataFrame:
+    """Spearman of the k = 5 estimate with likes over all test comments, n of them, and its mean within n videos."""
+    t = _test_comments(s, d, (5,))
+    pooled = metrics.spearman(t.withColumn("pool", F.lit("pooled")), "pool", "like_count", "estimate").select("pool", "n", r6(F.col("rho")).alias("rho"))
+    within = metrics.spearman(t, "video_id", "y", "estimate").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("rho")).alias("rho"))
+    return pooled.union(within.select(F.lit("within_video").alias("pool"), "n", "rho"))
+
+
 def pairwise_cosine(s: SparkSession, d: str) -> DataFrame:
     return retrieval.mean_pairwise_cosine(load(s, d, "embeddings"), "embedding", "label")
 

@@ -11,8 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from exposit.operators import ladder, text
-from exposit.plans import queries
+from exposit.operators import ladder, split, text
+from exposit.plans import corpus, queries
 
 TABLES = "/root/testdata/sf0.001"
 TEXTS = ["Café crème", "cafe creme now", "CAFÉ crème 😀", "привет мир", "Привет мир й", "привет, мир!", "привет мир снова", "cafe creme", "café crème", "мир привет мир", "plain words only", None]
@@ -84,3 +84,33 @@ def test_the_gate_reports_every_text_rung(spark, monkeypatch):
 
     monkeypatch.setattr(ladder, "run", run)
     assert [r["rung"] for r in queries.gate_report(spark, "").collect()] == ["tfidf", "embed"]
+
+
+def ranked(x):
+    x = np.asarray(x, float)
+    return np.array([(x < v).sum() + ((x == v).sum() - 1) / 2 for v in x])
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_both_pools_and_both_skills(spark):
+    vec = {r["vec_id"]: np.asarray(r["embedding"], float) for r in queries._vectors(spark, TABLES).collect()}
+    f = corpus.featured(spark, TABLES)
+    f = f.join(split.channel_split(f, "channel"), "channel").withColumn("vec_id", F.pmod(F.xxhash64("comment_id"), F.lit(len(vec))))
+    rows = [r for r in f.select("comment_id", "video_id", "y", "like_count", "split", "vec_id").collect() if vec.get(r["vec_id"]) is not None]
+    train, test = ([r for r in rows if r["split"] == x] for x in ("train", "test"))
+    ref, likes = np.stack([vec[r["vec_id"]] for r in train]), np.array([r["like_count"] for r in train], float)
+    ids, names = np.array([r["vec_id"] for r in train]), np.array([r["comment_id"] for r in train])
+    order = [np.lexsort((names, ids, -np.round(ref @ vec[r["vec_id"]], 12)))[:20] for r in test]
+    own, y = np.array([r["like_count"] for r in test], float), np.array([r["y"] for r in test])
+    est = {k: np.array([likes[o[:k]].mean() for o in order]) for k in (1, 5, 20)}
+    tops = {"absolute": own >= np.quantile(own, 0.9), "within_video": y >= 0.9}
+    got = {(r["pool"], r["k"]): (r["n_top"], r["top_mean"], r["all_mean"]) for r in queries.circularity_pools(spark, TABLES).collect()}
+    assert set(got) == {(p, k) for p in tops for k in est}
+    for p, k in got:
+        assert got[p, k] == pytest.approx((tops[p].sum(), est[k][tops[p]].mean(), est[k].mean()), abs=1e-5)
+    skill = {r["pool"]: (r["n"], r["rho"]) for r in queries.circularity_skill(spark, TABLES).collect()}
+    e = np.round(est[5], 9)
+    assert skill["pooled"] == pytest.approx((len(test), np.corrcoef(ranked(own), ranked(e))[0, 1]), abs=1e-5)
+    videos = np.array([r["video_id"] for r in test])
+    rhos = [np.corrcoef(ranked(y[m]), ranked(e[m]))[0, 1] for m in (videos == v for v in set(videos)) if m.sum() >= 20 and len(set(y[m])) > 1 and len(set(e[m])) > 1]
+    assert skill["within_video"] == pytest.approx((len(rhos), np.mean(rhos)), abs=1e-5)
