@@ -401,7 +401,7 @@ def ridge_ladder(s: SparkSession, d: str) -> DataFrame:
 
 def gate_report(s: SparkSession, d: str) -> DataFrame:
     rows, per_video = ladder.run(_ladder_input(s, d, True, True), _rungs("length", "tfidf", "embed"), 200)
-    return s.createDataFrame(ladder.gate(rows, per_video, "length"), "rung string, delta double, lo double, hi double, p_gt_0 double, passes boolean, text_share_of_auc double")
+    return s.createDataFrame(ladder.gate(rows, per_video, "length", 2000), "rung string, delta double, lo double, hi double, p_gt_0 double, passes boolean, text_share_of_auc double")
 
 
 def auc_share_split(s: SparkSession, d: str) -> DataFrame:
@@ -415,7 +415,7 @@ def retrieval_score_table(s: SparkSession, d: str) -> DataFrame:
     v = _vectors(s, d)
     e = cut(retrieval.estimates(retrieval.nearest(v, v, "vec_id", "embedding", "likes", 5, skip_self=True), 5).join(v, F.col("query") == F.col("vec_id")).select("vec_id", "likes", "estimate"))
     table = generate.score_table(e, "likes", "estimate")
-    ratio = metrics.ratio_ci(e.where("likes >= 5"), e, "vec_id", "estimate", 50)
+    ratio = metrics.ratio_ci(e.where("likes >= 5"), e, "vec_id", "estimate", 2000)
     return table.crossJoin(F.broadcast(ratio))
 
 

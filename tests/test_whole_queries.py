@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from exposit.operators import ladder, split, text
+from exposit.operators import ladder, metrics, split, text
 from exposit.plans import corpus, queries
 
 TABLES = "/root/testdata/sf0.001"
@@ -114,3 +114,24 @@ def test_both_pools_and_both_skills(spark):
     videos = np.array([r["video_id"] for r in test])
     rhos = [np.corrcoef(ranked(y[m]), ranked(e[m]))[0, 1] for m in (videos == v for v in set(videos)) if m.sum() >= 20 and len(set(y[m])) > 1 and len(set(e[m])) > 1]
     assert skill["within_video"] == pytest.approx((len(rhos), np.mean(rhos)), abs=1e-5)
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_intervals_have_the_stated_resamples(spark, monkeypatch):
+    seen = []
+
+    def ratio_ci(a, b, key, value, n_boot):
+        seen.append(n_boot)
+        return spark.range(1)
+
+    def gate(rows, per_video, base, n_boot=400):
+        seen.append(n_boot)
+        return [{"rung": "embed", "delta": None, "lo": None, "hi": None, "p_gt_0": None, "passes": False, "text_share_of_auc": None}]
+
+    monkeypatch.setattr(metrics, "ratio_ci", ratio_ci)
+    monkeypatch.setattr(queries, "_ladder_input", lambda *a: None)
+    monkeypatch.setattr(ladder, "run", lambda *a: ([], {}))
+    monkeypatch.setattr(ladder, "gate", gate)
+    queries.retrieval_score_table(spark, TABLES)
+    queries.gate_report(spark, TABLES)
+    assert seen == [2000, 2000]
