@@ -435,7 +435,7 @@ def stream_collect(s: SparkSession, d: str) -> DataFrame:
 
 
 def generate_stub(s: SparkSession, d: str) -> DataFrame:
-    """Prompts with and without top-liked examples for every finished video, completed by the stub."""
+    """Prompts with and without 12 top-liked examples for a sample of 120 finished videos, completed by the stub."""
     f = corpus.featured(s, d).where(F.col("y") >= 0.95).select("comment_id", "text")
     v = corpus.videos(s, d).where("status = 'done'").select("video_id", "title")
-    return generate.complete(generate.prompts(f, v, 5, 120, 2)).select("video_id", "condition", "sample", F.length("prompt").alias("prompt_chars"), "text", "tokens", "cost_usd")
+    return generate.complete(generate.prompts(f, v, 12, 120, 2)).select("video_id", "condition", "sample", F.length("prompt").alias("prompt_chars"), "text", "tokens", "cost_usd")

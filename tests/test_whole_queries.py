@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from exposit.operators import ladder, metrics, split, text
+from exposit.operators import generate, ladder, metrics, split, text
 from exposit.plans import corpus, queries
 
 TABLES = "/root/testdata/sf0.001"
@@ -135,3 +135,12 @@ def test_intervals_have_the_stated_resamples(spark, monkeypatch):
     queries.retrieval_score_table(spark, TABLES)
     queries.gate_report(spark, TABLES)
     assert seen == [2000, 2000]
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_prompts_show_twelve_examples(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(generate, "complete", lambda df: kept.append(df) or df.selectExpr("*", "'' AS text", "0 AS tokens", "0.0 AS cost_usd"))
+    queries.generate_stub(spark, TABLES)
+    shown = {sum(x.startswith("- ") for x in r["prompt"].split("\n")) for r in kept[0].where("condition = 'top_liked'").collect()}
+    assert shown == {12}
