@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_OWN: dict[str, str] = {}
+_MARKED: set[tuple[str, str]] = set()
+#: Spark removes an execution's shuffle files at its end under this setting.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,25 +25,48 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share.
+    """The folder of this application that all executors share; it is removed when the driver ends.
 
-    It is what the session names in ``spark.checkpoint.dir``. Only where that is unset (local tests)
-    a folder of this machine is made and set as the checkpoint folder.
+    It is the context's checkpoint folder, whether ``spark.checkpoint.dir`` or the user's own call has set it. Where neither has, a folder of this
+    machine is made for a local master, as in tests; any other master is refused, since executors couldn't read it.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="exposit-")
-        spark.sparkContext.setCheckpointDir(_OWN[app])
-    return _OWN[app]
+    sc = spark.sparkContext
+    at = sc.getCheckpointDir()
+    if not at:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local($|\[)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="exposit-"))
+        at = sc.getCheckpointDir()
+    if (sc.applicationId, at) not in _MARKED:
+        _MARKED.add((sc.applicationId, at))
+        fs, path = _file_system(spark, at)
+        fs.deleteOnExit(path)
+    return at.rstrip("/")
+
+
+def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the shared folder; survives the loss of executors."""
+    """``df`` with its lineage cut by a checkpoint in the shared folder; survives the loss of executors. Its shuffle files go."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager)
+    if not eager:
+        return df.checkpoint(False)
+    with _cleaning(df.sparkSession):
+        return df.select("*").checkpoint()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -48,22 +75,24 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read from there; its shuffle files may then go."""
+    """``df`` written as a table in the shared folder and read from there; its shuffle files go. ``drop`` removes it."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    release(spark)
+    with _cleaning(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files that no plan refers to any more: it does so when its driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def drop(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Remove tables that ``written`` or ``scratch`` made in the shared folder, once no plan reads them any more."""
+    for t in tables:
+        for path in {t} if isinstance(t, str) else {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            fs, at = _file_system(spark, path)
+            if not at.getName().startswith("exposit-"):
+                raise ValueError(f"{path} is none of the intermediate tables")
+            fs.delete(at, True)
 
 
 def listing(spark: SparkSession, path: str) -> list[str]:
     """The data files of a written table, as URIs."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, at = _file_system(spark, path)
     return sorted(x.getPath().toString() for x in fs.listStatus(at) if x.getPath().getName().startswith("part-"))
