@@ -13,8 +13,9 @@ A repeated word is numbered (its first, second, ... occurrence), which turns tha
   each. A tree's key is such a chain of words. It ends as soon as the expected number of texts
   with these words is small, which depends on the words alone, so both texts of a pair reach the same tree:
   no match is lost, and the work per text doesn't grow with the number of texts.
-* A tree larger than ``BLOCK`` points, as edited copies of one text make it, is cut into blocks, whose pairs are
-  spread over tasks; all of them are compared.
+* No task holds a tree of more than ``BLOCK`` points. Larger ones, as edited copies of one text make them, are told by a count of keys and cut
+  by the texts' sizes into blocks of about that many, before any shuffle gathers them. Blocks are written to the shared folder; only the blocks' names and corners
+  are joined, pairs whose bound is too small are dropped, and tasks read the two blocks of each other pair.
 * Surviving pairs are verified on their whole word sets.
 """
 
@@ -31,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exposit.sources.tables import cut, release, written
+from exposit.sources.tables import cut, drop, scratch, written
 
 GROUPS = 64
-LEAF = 128
+#: Points in a leaf, and children of an inner node.
+LEAF, FAN = 128, 8
 BLOCK = 16_384
 #: A tree is expected to hold at most so many texts, by the frequencies of its words.
 TREE = 12_000
@@ -169,32 +171,60 @@ def _tested(i: np.ndarray, j: np.ndarray, x: Points, y: Points, threshold: float
 
 
 class Tree:
-    """The leaves of a bulk-loaded R-tree: points in order of size and bits, each leaf with its corner and range of sizes."""
+    """A bulk-loaded R-tree: points in order of size and bits. A level is (corner, beyond, least, most) of its nodes, leaves first; a node has ``FAN`` children."""
 
     def __init__(self, points: Points):
         self.order = np.lexsort((points.bits[:, 1], points.bits[:, 0], points.n))
         self.points = points[self.order]
         self.begin = np.arange(0, len(points), LEAF)
         self.end = np.append(self.begin[1:], len(points))
-        self.corner = np.bitwise_or.reduceat(self.points.bits, self.begin, axis=0)
-        self.beyond = np.maximum.reduceat(self.points.beyond, self.begin)
-        self.least, self.most = self.points.n[self.begin], self.points.n[self.end - 1]
+        self.levels = [(np.bitwise_or.reduceat(self.points.bits, self.begin, axis=0), np.maximum.reduceat(self.points.beyond, self.begin), self.points.n[self.begin], self.points.n[self.end - 1])]
+        while len(self.levels[-1][0]) > FAN:
+            corner, beyond, least, most = self.levels[-1]
+            at = np.arange(0, len(corner), FAN)
+            self.levels.append((np.bitwise_or.reduceat(corner, at, axis=0), np.maximum.reduceat(beyond, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)))
+
+    def children(self, nodes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``nodes``, child) of the children, on the level below, of nodes of ``level``."""
+        first = nodes * FAN
+        count = np.minimum(FAN, len(self.levels[level - 1][0]) - first)
+        at = np.repeat(np.arange(len(nodes)), count)
+        return at, first[at] + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def leaf_pairs(x: Tree, y: Tree, own: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of leaves that may hold a match, by going down both trees from their tops."""
+    p, q = len(x.levels) - 1, len(y.levels) - 1
+    i, j = (k.ravel() for k in np.indices((len(x.levels[p][0]), len(y.levels[q][0]))))
+    while True:
+        if own:
+            i, j = i[i <= j], j[i <= j]
+        (cx, bx, lx, mx), (cy, by, ly, my) = x.levels[p], y.levels[q]
+        bound = np.bitwise_count(cx[i] & cy[j]).sum(1, dtype=np.int64) + np.minimum(bx[i], by[j])
+        # The sizes nearest to each other decide whether any two can match in size; the smallest ones need the least in common.
+        ok = (mx[i] >= threshold * ly[j] - 1e-9) & (my[j] >= threshold * lx[i] - 1e-9) & (bound * (1 + threshold) >= threshold * (lx[i] + ly[j]) - 1e-6)
+        i, j = i[ok], j[ok]
+        if not p and not q:
+            return i, j
+        down = p >= q, q >= p
+        if down[0]:
+            at, i = x.children(i, p)
+            j = j[at]
+        if down[1]:
+            at, j = y.children(j, q)
+            i = i[at]
+        p, q = p - down[0], q - down[1]
 
 
 def tree_join(x: Tree, y: Tree | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(left ids, right ids) of the points that may match: across two trees, or within ``x``."""
     own, y = y is None, x if y is None else y
+    first, second = leaf_pairs(x, y, own, threshold)
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
     left, right = [], []
-    for a in range(len(x.begin)):
-        bound = np.bitwise_count(x.corner[a] & y.corner).sum(1, dtype=np.int64) + np.minimum(x.beyond[a], y.beyond)
-        # The sizes nearest to each other decide whether any two can match in size; the smallest ones need the least in common.
-        ok = (x.most[a] >= threshold * y.least - 1e-9) & (y.most >= threshold * x.least[a] - 1e-9)
-        ok &= bound * (1 + threshold) >= threshold * (x.least[a] + y.least) - 1e-6
-        if own:
-            ok[:a] = False
-        hit = np.flatnonzero(ok)
-        if not len(hit):
-            continue
+    for a in np.unique(first):
+        hit = second[np.searchsorted(first, a) : np.searchsorted(first, a, "right")]
         rows = slice(x.begin[a], x.end[a])
         for b in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):  # leaves that follow each other are tested at once
             for start in range(y.begin[b[0]], y.end[b[-1]], 4096):
@@ -203,7 +233,7 @@ def tree_join(x: Tree, y: Tree | None, threshold: float) -> tuple[np.ndarray, np
                 common = np.bitwise_count(one[:, None, 0] & two[None, :, 0])
                 common += np.bitwise_count(one[:, None, 1] & two[None, :, 1])
                 extra = min(int(x.points.beyond[rows].max()), int(y.points.beyond[cols].max()))
-                least = threshold / (1 + threshold) * (x.least[a] + int(y.points.n[cols].min())) - extra - 1e-6
+                least = threshold / (1 + threshold) * (int(x.points.n[rows.start]) + int(y.points.n[cols].min())) - extra - 1e-6
                 i, j = np.nonzero(common >= least) if least > 0 else (k.ravel() for k in np.indices(common.shape))
                 i, j = i + rows.start, j + cols.start
                 if own:
@@ -220,34 +250,28 @@ SMALL = 24
 
 
 def _forest(threshold: float):  # noqa: ANN202
-    """Reads points sorted by key; gives candidate pairs, and the blocks of trees that are too large for one task."""
+    """Reads points sorted by key, trees of any size up to ``BLOCK`` or so; gives candidate pairs."""
+
+    def joined(key: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        points = Points.of(*columns)
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(starts, len(key)))
+        lefts, rights = [], []
+        for s in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
+            a, b = np.triu_indices(s, 1)
+            at = starts[sizes == s]
+            i, j = _tested((at[:, None] + a).ravel(), (at[:, None] + b).ravel(), points, points, threshold)
+            lefts.append(points.ids[i])
+            rights.append(points.ids[j])
+        for at, s in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
+            i, j = tree_join(Tree(points[at : at + s]), None, threshold)
+            lefts.append(i)
+            rights.append(j)
+        if lefts:
+            yield _pairs(np.concatenate(lefts), np.concatenate(rights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-
-        def joined(key: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-            points = Points.of(*columns)
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            sizes = np.diff(np.append(starts, len(key)))
-            lefts, rights = [], []
-            for s in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
-                a, b = np.triu_indices(s, 1)
-                at = starts[sizes == s]
-                i, j = _tested((at[:, None] + a).ravel(), (at[:, None] + b).ravel(), points, points, threshold)
-                lefts.append(points.ids[i])
-                rights.append(points.ids[j])
-            for at, s in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
-                if s <= BLOCK:
-                    i, j = tree_join(Tree(points[at : at + s]), None, threshold)
-                    lefts.append(i)
-                    rights.append(j)
-                    continue
-                whole = Tree(points[at : at + s]).points
-                blobs = [b"".join(c.tobytes() for c in whole[k : k + BLOCK].longs()) for k in range(0, s, BLOCK)]
-                yield _batch(keys=[int(key[at])] * len(blobs), blocks=blobs)
-            if lefts:
-                yield _pairs(np.concatenate(lefts), np.concatenate(rights))
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -265,32 +289,58 @@ def _forest(threshold: float):  # noqa: ANN202
     return run
 
 
-def _batch(left=(), right=(), keys=(), blocks=()) -> pa.RecordBatch:  # noqa: ANN001
-    many = len(left) + len(keys)
-    none = [None] * many
-    return pa.RecordBatch.from_arrays(
-        [pa.array(left if len(left) else none, pa.int64()), pa.array(right if len(left) else none, pa.int64()), pa.array(keys if len(keys) else none, pa.int64()), pa.array(blocks if len(keys) else none, pa.binary())], names=["a", "b", "key", "block"]
-    )
-
-
 def _pairs(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
     both = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)], 1), axis=0) if len(left) else np.empty((0, 2), np.int64)
-    return _batch(np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]))
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], names=["a", "b"])
+
 
+def _read_block(path: str) -> Tree:
+    import pyarrow.fs
+    import pyarrow.parquet as pq
 
-def _read_block(blob: bytes) -> Tree:
-    return Tree(Points.of(*np.frombuffer(blob, np.int64).reshape(4, -1)))
+    fs, at = pyarrow.fs.FileSystem.from_uri(path)
+    table = pq.read_table(at, filesystem=fs, columns=["id", "size", "low", "high"])
+    return Tree(Points.of(*(table[c].to_numpy() for c in table.column_names)))
 
 
 def _block_join(threshold: float):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for same, left, right in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                yield _pairs(*tree_join(_read_block(left), None if same else _read_block(right), threshold))
+            for left, right in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                yield _pairs(*tree_join(_read_block(left), None if left == right else _read_block(right), threshold))
 
     return run
 
 
+#: Parts of a large tree by the size of its texts.
+BANDS = 64
+
+
+def _large_trees(points: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) candidates of the trees over ``BLOCK`` points: (key, id, size, low, high, much), ``much`` about how many points the tree has."""
+    spark = points.sparkSession
+    place = (F.col("size").bitwiseAND(F.lit(0xFFFFFFFF)) * (1 << 16) + F.pmod(F.xxhash64("id"), F.lit(1 << 16))).alias("place")
+    bounds = points.select("key", place).groupBy("key").agg(F.percentile_approx("place", F.array(*[F.lit(k / BANDS) for k in range(1, BANDS)]), 2000).alias("bounds"))
+    band = F.size(F.filter("bounds", lambda x: x < F.col("place")))
+    # Bands of the largest trees are still too large and are cut again by hash.
+    more = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.lit(1), F.ceil(F.col("much") / (BLOCK * BANDS)))).cast("int")
+    few = F.greatest(F.lit(1), F.ceil(F.lit(BANDS) * BLOCK / F.col("much"))).cast("int")
+    block = F.concat_ws("_", F.hex("key"), F.floor(band / few).cast("int"), more)
+    table = scratch(spark, "blocks")
+    points.select("*", place).join(bounds, "key").select("key", "id", "size", "low", "high", block.alias("block")).repartition("block").write.partitionBy("block").parquet(table)
+    n, beyond = F.col("size").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("size", 32)
+    # A block is what one file holds.
+    corners = spark.read.parquet(table).withColumn("path", F.input_file_name()).groupBy("path").agg(F.first("key").alias("key"), F.bit_or("low").alias("low"), F.bit_or("high").alias("high"), F.max(beyond).alias("beyond"), F.min(n).alias("least"), F.max(n).alias("most"))
+    corners = cut(corners)
+    x, y = (corners.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("low", "high", "beyond", "least", "most", "path")]) for s in "xy")
+    bound = F.bit_count(F.col("low_x").bitwiseAND(F.col("low_y"))) + F.bit_count(F.col("high_x").bitwiseAND(F.col("high_y"))) + F.least("beyond_x", "beyond_y")
+    near = (F.col("most_x") >= threshold * F.col("least_y") - 1e-9) & (F.col("most_y") >= threshold * F.col("least_x") - 1e-9)
+    pairs = cut(x.join(y, "key").where(F.col("path_x") <= F.col("path_y")).where(near & (bound * (1 + threshold) >= threshold * (F.col("least_x") + F.col("least_y")) - 1e-6)).select("path_x", "path_y"))
+    found = cut(pairs.repartition(max(1, pairs.count() // 2)).mapInArrow(_block_join(threshold), "a bigint, b bigint").distinct())
+    drop(spark, table)
+    return found
+
+
 def frequent_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(words, sorted, their counts, what any other word's count is at most) of the most frequent words, at most ``most``.
 
@@ -320,53 +370,104 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.75,
     spark = df.sparkSession
     # Parquet's dictionaries hold the hashes of common words once a file; a checkpoint would be several times larger.
     texts = written(word_sets(df, key, text, min_words), "texts")
-    members = texts.select("key", "digest").distinct()
-    own = written(texts.dropDuplicates(["digest"]).select("digest", "id", "n", "words"), "classes")
-    counts = own.select(F.explode("words").alias("w")).groupBy("w").count()
-    total = own.count()
+    members = written(texts.select("key", "digest").distinct(), "members")
+    counts = texts.select(F.explode("words").alias("w")).groupBy("w").count()
+    total = texts.count()
     have, much, rest = frequent_words(cut(counts), FREQUENT)
-    known = spark.sparkContext.broadcast((have, much))
+    rank = np.empty(len(have), np.int32)
+    rank[np.lexsort((have, much))] = np.arange(len(have), dtype=np.int32)
+    known = spark.sparkContext.broadcast((have, much, rank))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, much = known.value
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, _, rank = known.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column(2)
-            words = lists.flatten().to_numpy()
-            ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-            starts = np.cumsum(sizes) - sizes
+            words, sizes = batch.column(3).flatten().to_numpy(), batch.column(2).to_numpy()
+            owner = np.repeat(np.arange(len(sizes)), sizes)
             at = np.minimum(np.searchsorted(have, words), max(0, len(have) - 1))
-            number = np.where(have[at] == words, much[at], rest) if len(have) else np.full(len(words), rest)
-            points = points_of(ids, sizes, words)
-            order = np.lexsort((words, number, np.repeat(np.arange(len(sizes)), sizes)))
-            texts, keys = chains(starts, sizes, words[order], number[order] / max(1, total), total, threshold, tree)
+            hit = have[at] == words if len(have) else np.zeros(len(words), bool)
+            codes, whose = rank[at[hit]] if len(have) else np.empty(0, np.int32), owner[hit]
+            codes = codes[np.lexsort((codes, whose))]
+            lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(o, np.arange(len(sizes) + 1)).astype(np.int32)), pa.array(v)) for o, v in ((whose, codes), (owner[~hit], words[~hit]))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *lists], names=["digest", "id", "n", "codes", "rare"])
+
+    # Codes are ranks by frequency, so they take less room than hashes, and both lists are in the global order of words.
+    coded = texts.select("digest", "id", "n", "words").mapInArrow(code, "digest binary, id bigint, n int, codes array<int>, rare array<bigint>")
+    own = written(coded.dropDuplicates(["digest"]), "classes")
+    drop(spark, texts)
+
+    def placed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, Points, np.ndarray, np.ndarray]:
+        """(ids, sizes, points, text index of each tree, key of each tree)."""
+        have, much, rank = known.value
+        ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+        codes, rare = batch.column(2), batch.column(3)
+        n_rare = rare.value_lengths().to_numpy().astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        words, number = np.empty(int(sizes.sum()), np.int64), np.full(int(sizes.sum()), rest, np.int64)
+        within = np.arange(len(words)) - np.repeat(starts, sizes)
+        scarce = within < np.repeat(n_rare, sizes)
+        back = np.empty_like(rank)
+        back[rank] = np.arange(len(rank), dtype=np.int32)
+        at = back[codes.flatten().to_numpy()]
+        words[scarce], words[~scarce], number[~scarce] = rare.flatten().to_numpy(), have[at], much[at]
+        texts, keys = chains(starts, sizes, words, number / max(1, total), total, threshold, tree)
+        return ids, sizes, points_of(ids, sizes, words), texts, keys
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, _, points, texts, keys = placed(batch)
             for k in range(0, len(texts), 100_000):
                 rows = points[texts[k : k + 100_000]].longs()
                 yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000]), *map(pa.array, rows)], names=["key", "id", "size", "low", "high"])
 
-    points = own.select("id", "n", "words").mapInArrow(emit, "key bigint, id bigint, size bigint, low bigint, high bigint")
-    sorted_points = points.repartition("key").sortWithinPartitions("key")
-    found = cut(sorted_points.mapInArrow(_forest(threshold), "a bigint, b bigint, key bigint, block binary"))
-    release(spark)
-    large = found.where("key is not null").select("key", "block", F.xxhash64("block").alias("h"))
-    left, right = large.select("key", F.col("block").alias("l"), F.col("h").alias("hl")), large.select("key", F.col("block").alias("r"), F.col("h").alias("hr"))
-    block_pairs = left.join(right, "key").where("hl <= hr").withColumn("same", F.col("l") == F.col("r")).where("hl < hr or same or l < r").select("same", "l", F.when(~F.col("same"), F.col("r")).alias("r"))
-    more = block_pairs.repartition(F.xxhash64("l"), F.xxhash64("r")).mapInArrow(_block_join(threshold), "a bigint, b bigint, key bigint, block binary") if not large.isEmpty() else large.select(F.col("key").alias("a"), F.col("key").alias("b"))
-    pairs = found.where("key is null").select("a", "b").union(more.select("a", "b")).distinct()
+    parts = own.select("id", "n", "codes", "rare")
+    # A tree over BLOCK has BLOCK / 2 points or more in the tasks that hold at least this many of it, so only those tasks name it.
+    least = max(1, BLOCK // (2 * max(1, parts.rdd.getNumPartitions())))
+
+    def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [placed(batch)[4] for batch in batches if batch.num_rows]
+        keys, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64), np.empty(0, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[count >= least]), pa.array(count[count >= least].astype(np.int64))], names=["key", "much"])
+
+    hot = cut(parts.mapInArrow(large, "key bigint, much bigint").groupBy("key").agg(F.sum("much").alias("much")).where(F.col("much") > BLOCK // 2))
+    points = parts.mapInArrow(emit, "key bigint, id bigint, size bigint, low bigint, high bigint")
+    some = not hot.isEmpty()
+    cold = points.join(hot.select("key"), "key", "left_anti") if some else points
+    pairs = cut(cold.repartition("key").sortWithinPartitions("key").mapInArrow(_forest(threshold), "a bigint, b bigint"))
+    if some:
+        pairs = pairs.union(_large_trees(points.join(hot, "key"), threshold))
     # The 64-bit ids only find candidates: what is compared are whole word sets, and classes go by their digests.
-    a, b = (own.select(F.col("id").alias(x), F.col("digest").alias(f"digest_{x}"), F.col("n").alias(f"n_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
-    checked = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("words_a", "words_b")))
+    a, b = (own.select(F.col("id").alias(x), F.col("digest").alias(f"digest_{x}"), F.col("n").alias(f"n_{x}"), F.col("codes").alias(f"codes_{x}"), F.col("rare").alias(f"rare_{x}")) for x in "ab")
+    checked = pairs.distinct().join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("codes_a", "codes_b")) + F.size(F.array_intersect("rare_a", "rare_b")))
     either = F.col("n_a") + F.col("n_b") - F.col("common")
-    links = checked.select("digest_a", "digest_b", "common", either.alias("either")).where(F.col("common") >= threshold * F.col("either"))
-    return cut(links), members
+    links = cut(checked.select("digest_a", "digest_b", "common", either.alias("either")).where(F.col("common") >= threshold * F.col("either")))
+    drop(spark, own)
+    return links, members
+
+
+#: Members of one class that a task pairs with each other at a time.
+ALIKE = 2_000
 
 
 def pairs_of(links: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b): every pair of keys, smaller first, whose texts match: across linked classes, and within a class."""
-    left, right = (members.select(F.col("key").alias(x), F.col("digest").alias(f"digest_{x}")) for x in "ab")
-    across = links.select("digest_a", "digest_b").join(left, "digest_a").join(right, "digest_b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    within = left.join(right, F.col("digest_a") == F.col("digest_b")).where("a < b").select("a", "b")
+    """(a, b): every pair of keys, smaller first, whose texts match: across linked classes, and within a class.
+
+    As many rows as there are such pairs, so a class of m copies has m (m - 1) / 2; ``groups_of`` is the bounded form. Members of
+    large classes are spread by salts: the left ones have one of them, the right ones are repeated for each.
+    """
+    sizes = members.groupBy("digest").count().where(F.col("count") > ALIKE).select("digest", F.ceil(F.col("count") / ALIKE).cast("int").alias("salts"))
+    salted = members.join(sizes, "digest", "left").select("key", "digest", F.coalesce("salts", F.lit(1)).alias("salts"))
+    one = salted.select(F.col("key").alias("a"), F.col("digest").alias("digest_a"), F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"))
+    every = salted.select(F.col("key").alias("b"), F.col("digest").alias("digest_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    within = one.join(every, (F.col("digest_a") == F.col("digest_b")) & (one["salt"] == every["salt"])).where("a < b").select("a", "b")
+    # The salts of a link are those of its left class.
+    left, right = one, members.select(F.col("key").alias("b"), F.col("digest").alias("digest_b"))
+    wide = links.select("digest_a", "digest_b").join(sizes.withColumnRenamed("digest", "digest_a"), "digest_a", "left")
+    wide = wide.select("digest_a", "digest_b", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    across = wide.join(left, ["digest_a", "salt"]).join(right, "digest_b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return across.union(within)
 
 

@@ -7,7 +7,7 @@ so that the costs are balanced, and the many short items that come last fill wha
 
 An item longer than the capacity is cut into full containers and one remainder, which is packed like
 any other item. Items of length 0 (null or empty text) take no room: container null, piece 0.
-Scale: items are dealt by hash into shards of about ``shard_items``; a shard holds lengths and ids
+Scale: items are dealt by a hash of their row into shards of about ``shard_items``, so repeated keys don't gather in one; a shard holds lengths and ids
 only, is packed in one task, and its container ids begin with the shard's number. What a shard wastes is less than a few
 containers, so whole results stay near the bound at any size.
 """
@@ -62,14 +62,15 @@ def pack(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) ->
 def pack_items(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, linear: float = 1.0, quadratic: float = 1 / 4096, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(key, piece int, start int, length int, container string, offset int) for every item.
 
-    Each row of ``sizes`` is an item; repeated keys are items of their own. A null size counts as 0, a null key
-    is kept. Ties of length go by key. No rows in, no rows out.
+    Each row of ``sizes`` is an item; repeated keys and null keys are items of their own, and no two full pieces share a container. A null size
+    counts as 0, a null key is kept. Ties of length go by key. No rows in, no rows out.
     """
     kind = sizes.schema[key].dataType.simpleString()
     n = F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0))
     full = F.expr(f"if(_n <= {capacity}, 0, floor(_n / {capacity}))")
     base = sizes.select(F.col(key).alias("_k"), n.alias("_n")).withColumn("_full", full.cast("int"))
-    base = base.withColumn("_h", F.xxhash64("_k"))
+    # A number of the row, not of the key: keys may repeat. The checkpoint below fixes it.
+    base = base.withColumn("_h", F.monotonically_increasing_id())
     pieces = base.select("_k", "_n", "_full", "_h", F.explode(F.expr(f"sequence(0, if(_n > {capacity} and _n % {capacity} = 0, _full - 1, _full))")).alias("piece"))
     start = F.col("piece") * capacity
     pieces = pieces.select("_k", "_h", "piece", start.cast("int").alias("start"), F.least(F.lit(capacity), F.col("_n") - start).cast("int").alias("length"))
@@ -85,6 +86,6 @@ def pack_items(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY,
         return pd.DataFrame({key: pdf["_k"], "piece": pdf["piece"], "start": pdf["start"], "length": pdf["length"], "container": names, "offset": offset})
 
     schema = f"`{key}` {kind}, piece int, start int, length int, container string, offset int"
-    packed = pieces.where(rest).withColumn("_shard", F.pmod("_h", F.lit(shards))).groupBy("_shard").applyInPandas(run, schema)
+    packed = pieces.where(rest).withColumn("_shard", F.pmod(F.xxhash64("_h"), F.lit(shards))).groupBy("_shard").applyInPandas(run, schema)
     alone = pieces.where(~rest).select(F.col("_k").alias(key), "piece", "start", "length", F.when(F.col("length") > 0, F.concat(F.lit("f"), F.hex("_h"), F.lit("-"), F.col("piece").cast("string"))).alias("container"), F.lit(0).alias("offset"))
     return packed.unionByName(alone)

@@ -3,7 +3,9 @@
 Every document gets the statistics below. For each language the robust mean and covariance of prose are fitted over all documents that
 declare it: from medians and deviations first, then by concentration steps that leave out what lies too far, so that lists,
 tables, debris and wrongly labelled documents don't count. A document's outlierness is its squared Mahalanobis distance
-from the nearest language's prose, and each statistic's contribution to it is reported; wrong or missing labels don't matter there.
+from the nearest language's prose, and each statistic's contribution to it is reported; wrong or missing labels don't matter there. What kind of
+outlier it is follows from the same model: the layout statistics alone have a marginal distance, and where that is large they tell lists from tables by
+their contributions to it.
 """
 
 from __future__ import annotations
@@ -182,23 +184,30 @@ def text_statistics(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
 FLOOR = np.array([0.12, 0.04, 0.03, 0.20, 0.06, 0.03, 0.02, 0.05, 0.10, 0.10, 0.04]) ** 2
 
 
-def fit_prose(stats: DataFrame, least: int = 30, steps: int = 3, cutoff: float = 40.0) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+#: Rows' worth of all languages' prose that each language's model starts from.
+PRIOR = 30
+
+
+def fit_prose(stats: DataFrame, steps: int = 3, cutoff: float = 40.0) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """The mean and inverse covariance of prose by language, over all rows of ``stats`` that declare it.
 
-    A language with fewer than ``least`` rows takes no part; if none has so many, all rows together make one.
+    Every declared language has its model, drawn towards that of all languages together as by ``PRIOR`` rows of it, so one of few rows is near the
+    common prose and one of many is its own. If no row declares a language, all rows together make one.
     """
     known = stats.where(F.col(STATS[0]).isNotNull())
     own = F.when(F.col("lang").isin(*LANGS), F.col("lang")).otherwise(F.lit("*"))
     known = known.withColumn("_l", own)
-    first = known.groupBy("_l").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(s, [0.25, 0.5, 0.75], 1000).alias(s) for s in STATS]).collect()
-    total = {r["_l"]: r["n"] for r in first}
+    quartiles = [F.percentile_approx(s, [0.25, 0.5, 0.75], 1000).alias(s) for s in STATS]
+    first = known.groupBy("_l").agg(F.count(F.lit(1)).alias("n"), *quartiles).collect()
+    every = known.agg(*quartiles).collect()[0]
+    middle = lambda r: np.array([r[s][1] for s in STATS])
+    spread = lambda r: np.array([(r[s][2] - r[s][0]) / 1.349 for s in STATS]) ** 2
+    drawn = lambda own, common, n: (n * own + PRIOR * common) / (n + PRIOR)
     model = {}
     for r in first:
-        mid = np.array([r[s][1] for s in STATS])
-        spread = np.array([(r[s][2] - r[s][0]) / 1.349 for s in STATS]) ** 2
-        model[r["_l"]] = (mid, np.diag(1 / (spread + FLOOR)))
-    enough = {k: v for k, v in model.items() if k != "*" and total[k] >= least}
-    model = enough or model
+        if r["_l"] != "*" or len(first) == 1:
+            n = r["n"]
+            model[r["_l"]] = (drawn(middle(r), middle(every), n), np.diag(1 / (drawn(spread(r), spread(every), n) + FLOOR)))
     cols = [F.col(s) for s in STATS]
     width = len(STATS)
     products = [(i, j) for i in range(width) for j in range(i, width)]
@@ -216,33 +225,37 @@ def fit_prose(stats: DataFrame, least: int = 30, steps: int = 3, cutoff: float =
             for pdf in batches:
                 yield pdf[near(pdf) < cutoff]
 
-        inner = known.select("_l", *cols).mapInPandas(kept, "_l string, " + ", ".join(f"{s} double" for s in STATS))
+        inner = known.where(F.col("_l").isin(*model)).select("_l", *cols).mapInPandas(kept, "_l string, " + ", ".join(f"{s} double" for s in STATS))
         sums = inner.groupBy("_l").agg(F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(f"s{i}") for i, s in enumerate(STATS)], *[F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"p{i}_{j}") for i, j in products]).collect()
-        new = {}
+        n = {r["_l"]: r["n"] for r in sums}
+        mean = {r["_l"]: np.array([r[f"s{i}"] for i in range(width)]) / r["n"] for r in sums}
+        cov = {}
         for r in sums:
-            n = r["n"]
-            if n < 2:
-                continue
-            mean = np.array([r[f"s{i}"] for i in range(width)]) / n
-            cov = np.zeros((width, width))
+            c = np.zeros((width, width))
             for i, j in products:
-                cov[i, j] = cov[j, i] = r[f"p{i}_{j}"] / n - mean[i] * mean[j]
-            new[r["_l"]] = (mean, np.linalg.inv(cov + np.diag(FLOOR)))
-        model = {**model, **new}
+                c[i, j] = c[j, i] = r[f"p{i}_{j}"] / r["n"]
+            cov[r["_l"]] = c - np.outer(mean[r["_l"]], mean[r["_l"]])
+        total = sum(n.values())
+        if not total:
+            break
+        common = sum(n[k] * mean[k] for k in n) / total
+        within = sum(n[k] * cov[k] for k in n) / total
+        for k in n:
+            model[k] = (drawn(mean[k], common, n[k]), np.linalg.inv(drawn(cov[k], within, n[k]) + np.diag(FLOOR)))
     return model
 
 
-def outliers(stats: DataFrame, key: str, model: dict[str, tuple[np.ndarray, np.ndarray]], least: float = 40.0) -> DataFrame:
+def outliers(stats: DataFrame, key: str, model: dict[str, tuple[np.ndarray, np.ndarray]], least: float = 40.0, layout: float = 20.0) -> DataFrame:
     """(key, nearest string, distance double, contributions map<string,double>, kind string).
 
     ``nearest`` is the language whose prose is nearest, ``distance`` the squared Mahalanobis distance from it; the
     contributions add up to it. kind is null for prose (a distance under ``least``) and for rows without statistics. Beyond
-    it, it is what most of the text is: 'list' if most characters are in short items, 'table' if most are in rows of fields, else
-    'junk' if the words are what makes it an outlier.
+    it, if the marginal distance of the layout statistics (shares of short items and of rows of fields) is ``layout`` or more, the one that contributes
+    more to it makes the document a 'list' or a 'table'; if the layout is that of prose, what is left are the words, and the document is 'junk'.
     """
     names = sorted(model)
-    at = {s: i for i, s in enumerate(STATS)}
-    word = [at[s] for s in ("word_length", "symbol_share", "digit_share", "common_share", "top_word_share", "mixed_share", "letter_share", "vowel_share")]
+    at = [STATS.index("item_share"), STATS.index("field_share")]
+    marginal = {k: np.linalg.inv(np.linalg.inv(model[k][1])[np.ix_(at, at)]) for k in names}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -254,8 +267,8 @@ def outliers(stats: DataFrame, key: str, model: dict[str, tuple[np.ndarray, np.n
             which = parts.sum(2).argmin(0)
             own = parts[which, np.arange(len(x))]
             distance = own.sum(1)
-            items, rows = x[:, at["item_share"]], x[:, at["field_share"]]
-            kind = np.where(items + rows > 0.5, np.where(items >= rows, "list", "table"), np.where(own[:, word].sum(1) > least, "junk", None))
+            pair = np.stack([d[i][:, at] * (d[i][:, at] @ marginal[k]) for i, k in enumerate(names)])[which, np.arange(len(x))]
+            kind = np.where(pair.sum(1) >= layout, np.where(pair[:, 0] >= pair[:, 1], "list", "table"), "junk").astype(object)
             kind = np.where((distance >= least) & ~blank, kind, None)
             yield pd.DataFrame(
                 {

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exposit.llm import abuse, language, neardup, packing, pii, quality, splits, tokens, topn
-from exposit.sources.tables import load
+from exposit.sources.tables import cut, load
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def _language_model(spark: SparkSession, sf_dir: str) -> tuple[language.Model, D
     """The model fitted on declared comments, and (comment_id, text, code) of every declared comment."""
     declared = load(spark, sf_dir, "comment_langs").select("comment_id", language.label_code(F.col("lang")).alias("code"))
     comments = load(spark, sf_dir, "comments").select("comment_id", "text")
-    rows = comments.join(declared, "comment_id").dropDuplicates(["comment_id", "code"])
+    rows = cut(comments.join(declared, "comment_id").dropDuplicates(["comment_id", "code"]))
     return language.fit_on(rows, "comment_id", "text", "code"), rows
 
 
@@ -61,6 +61,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups
 
 
+def p4_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The persisted spanning forest of identifiers: the edge that each component picked in each round, and what it became part of."""
+    _, forest = splits.creator_groups(load(spark, sf_dir, "videos"), load(spark, sf_dir, "channels"), load(spark, sf_dir, "comments"))
+    return forest
+
+
 def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each video with its group and split, 80/10/10 of the comments."""
     comments = load(spark, sf_dir, "comments")
@@ -92,8 +98,10 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = topn.latest_observation(load(spark, sf_dir, "comments"))
-    return topn.top_n(last, "video_id", "like_count", "published_at", "comment_id", 5).select("video_id", "comment_id")
+    comments = load(spark, sf_dir, "comments")
+    # Observations are at least as many as comments, and counting them reads one column.
+    sizes = comments.groupBy("video_id").count()
+    return topn.top_n(topn.latest_observation(comments), "video_id", "like_count", "published_at", "comment_id", 5, sizes=sizes).select("video_id", "comment_id")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +124,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.join(judged.select("doc_id", "nearest", "distance", "contributions", "kind"), "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_redacted, p3_found, p3_segments, p4_found, p4_splits, p5_found, p5_scores, p5_rates, p6_found, p7_ids, p8_pack, p9_found, p9_statistics)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_redacted, p3_found, p3_segments, p4_found, p4_forest, p4_splits, p5_found, p5_scores, p5_rates, p6_found, p7_ids, p8_pack, p9_found, p9_statistics)}
 
 SQL: dict[str, str] = {
     "p6_found": """

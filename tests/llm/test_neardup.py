@@ -57,6 +57,24 @@ def test_large_trees_go_by_blocks(spark, monkeypatch):
     assert len(groups) == members.count()
 
 
+@pytest.mark.parametrize("cut", [None, 40])
+def test_trees_of_many_levels_lose_no_pair(monkeypatch, cut):
+    monkeypatch.setattr(N, "LEAF", 4)
+    monkeypatch.setattr(N, "FAN", 2)
+    h = N._Hashes()
+    rows = texts(seed=11, roots=12, copies=12)
+    sets = [N.word_set(t, h) for _, t in rows]
+    sizes = np.array([len(s) for s in sets])
+    points = N.points_of(np.arange(len(sets)), sizes, np.concatenate(sets))
+    trees = [N.Tree(points)] if cut is None else [N.Tree(points[:cut]), N.Tree(points[cut:])]
+    assert len(trees[-1].levels) > 2
+    got = {(min(a, b), max(a, b)) for a, b in zip(*(x.tolist() for x in N.tree_join(trees[0], trees[1] if cut else None, 0.75)))}
+    bound = lambda i, j: np.bitwise_count(points.bits[i] & points.bits[j]).sum() + min(points.beyond[i], points.beyond[j])
+    want = {(i, j) for i, j in combinations(range(len(sets)), 2) if (cut is None or i < cut <= j) and len(np.intersect1d(sets[i], sets[j])) * 7 >= 3 * (sizes[i] + sizes[j])}
+    assert want <= got and all(bound(i, j) * 7 >= 3 * (sizes[i] + sizes[j]) for i, j in got)
+    assert len(got) < 0.2 * len(sets) ** 2
+
+
 def test_bound_is_never_below_what_is_shared():
     h = N._Hashes()
     sets = [N.word_set(t, h) for _, t in texts(seed=9)] + [N.word_set("ha " * 90, h)]
@@ -70,3 +88,26 @@ def test_bound_is_never_below_what_is_shared():
 def test_nothing_in_nothing_out(spark):
     assert found(spark, [])[2] == set()
     assert found(spark, [("a", None), (None, "w " * 30), ("b", ""), ("c", "too short")])[2] == set()
+
+
+def test_a_tree_of_200_000_points_is_spread_over_tasks(spark, monkeypatch):
+    # Points, as edited copies of texts of many sizes would give them, all in one tree.
+    rng = np.random.default_rng(1)
+    n = 200_000
+    sizes = np.sort(rng.integers(20, 5000, n))
+    low = np.left_shift(np.uint64(1), rng.integers(0, 64, (n, 12)).astype(np.uint64)).sum(1, dtype=np.uint64).view(np.int64)
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"key": 7, "id": np.arange(n), "size": sizes | sizes << 32, "low": low, "high": low, "much": n}))
+    tasks = []
+    monkeypatch.setattr(N, "_block_join", lambda t: lambda batches: (tasks_of(b) for b in batches))
+
+    def tasks_of(batch):
+        from pyspark import TaskContext
+
+        return N.pa.RecordBatch.from_arrays([N.pa.array([TaskContext.get().partitionId()] * batch.num_rows, N.pa.int64()), N.pa.array(range(batch.num_rows), N.pa.int64())], names=["a", "b"])
+
+    tasks = N._large_trees(df, 0.75).collect()
+    assert len({r["a"] for r in tasks}) >= 4
+    blocks = -(-n // N.BLOCK)
+    assert len(tasks) < blocks * (blocks + 1) // 2

@@ -68,3 +68,17 @@ def test_pack_items_on_odd_rows(spark):
             used[r["container"]] = used.get(r["container"], 0) + r["length"]
     assert max(used.values()) <= 2048
     assert packing.pack_items(sizes.limit(0), "doc_id", "n").count() == 0
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([None, 1, 2]), st.sampled_from([None, 0, 5, 40, 64, 65, 128, 200, 640])), min_size=1, max_size=40))
+def test_no_container_is_overfull(spark, rows):
+    used, n = {}, 0
+    for r in packing.pack_items(spark.createDataFrame(rows, "k bigint, n bigint"), "k", "n", capacity=64, shard_items=7).collect():
+        n += r["length"]
+        if r["container"]:
+            used.setdefault(r["container"], []).append((r["offset"], r["length"]))
+    assert n == sum(x or 0 for _, x in rows)
+    for parts in used.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(parts, parts[1:])) and sum(b for _, b in parts) <= 64

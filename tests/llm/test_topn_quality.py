@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from exposit.llm import quality as Q
@@ -57,3 +58,28 @@ def test_kinds(spark):
 def test_empty_table(spark):
     stats, out = Q.judge(spark.createDataFrame([], "doc_id bigint, text string, lang string"), "doc_id", "text", "lang")
     assert stats.count() == 0 and out.count() == 0
+
+
+def test_the_distance_decides_and_not_the_share_of_lines(spark):
+    # One and the same line shares: unusual for prose of whole lines, usual where prose often has lists.
+    rng = np.random.default_rng(2)
+    usual = {"word_length": 1.6, "symbol_share": 0.03, "digit_share": 0.01, "ended_share": 0.95, "common_share": 0.3, "top_word_share": 0.06, "mixed_share": 0.0, "letter_share": 0.96, "item_share": 0.02, "field_share": 0.0, "vowel_share": 0.4}
+    rows = []
+    for i in range(600):
+        one = {k: v + rng.normal(0, 0.01) for k, v in usual.items()}
+        rows.append((i, "en", *one.values()))
+        rows.append((1000 + i, "de", *(one | {"item_share": rng.uniform(0, 1)}).values()))
+    odd = usual | {"item_share": 0.8}
+    schema = "id bigint, lang string, " + ", ".join(f"{s} double" for s in Q.STATS)
+    kind = {}
+    for lang in ("en", "de"):
+        own = [r for r in rows if r[1] == lang]
+        model = Q.fit_prose(spark.createDataFrame(own, schema))
+        kind[lang] = Q.outliers(spark.createDataFrame([(1, lang, *odd.values())], schema), "id", model).collect()[0]["kind"]
+    assert kind == {"en": "list", "de": None}
+
+
+def test_a_language_of_few_rows_has_its_model(spark):
+    docs = [(i, PROSE * (1 + i % 5), "en") for i in range(60)] + [(100 + i, "Das ist nicht so einfach, und der Gärtner hat es auch nicht gewusst. Ich bin für den Garten. ", "de") for i in range(3)]
+    stats, out = Q.judge(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), "doc_id", "text", "lang")
+    assert sorted(Q.fit_prose(stats)) == ["de", "en"] and out.where("kind is not null").count() == 0
