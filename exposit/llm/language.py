@@ -6,9 +6,13 @@ probabilities are fitted by expectation-maximisation (forward-backward) on a bou
 may be wrong, the fit is repeated on the sentences whose label the first fit agrees with. Pieces don't cross white space, so a
 word's likelihoods are computed once per task and remembered in a bounded dictionary.
 
-A document is cut into units at line ends and sentence ends. A unit has a language if it holds ``MIN_WORDS`` words or more (or as
-many characters of a script without spaces); shorter units join the unit before. A word or phrase of another language inside a
-unit is weighed with the rest of it.
+A document is cut into units at line ends and sentence ends, and every unit has a language. One of fewer than ``MIN_WORDS`` words (or as
+few characters of a script without spaces) tells little: it has the language of the unit before it (or after, at the start) unless its own words
+speak for another by ``SURE`` nats. A word or phrase of another language inside a unit is weighed with the rest of it.
+
+Confidence is calibrated on labelled rows that the fit didn't see: scores are divided by the temperature at which their probabilities fit best how well
+a few words tell the language. A unit whose words are far less likely than words of its language usually are, by ``OTHER`` deviations of those rows, is
+in none of the languages: its language is 'und'.
 """
 
 from __future__ import annotations
@@ -49,9 +53,16 @@ MIN_CHARS = 6
 #: What a change of language inside a unit must gain, in nats, and the words that each side needs.
 SWITCH = 18.0
 SIDE = 4
+#: What a short unit's own language must gain over its neighbour's, in nats.
+SURE = 6.0
+#: Deviations below the usual likelihood at which a unit is in none of the languages.
+OTHER = 6.0
+UNDETERMINED = "und"
 LONGEST = 16
 #: Labelled documents per language that the fit may use.
 SAMPLE = 600
+#: Further ones that calibrate it.
+HELD = 150
 ROUNDS = 4
 #: A sentence mark ends a unit only before white space or the end, or after a script without spaces.
 _UNIT = re.compile(r"(?:(?!\s[-–—/|•]+\s)[^\n\r.!?…。！？]|[.!?…](?=[^\s.!?…。！？]))+[.!?…。！？]*")
@@ -76,6 +87,10 @@ class Model:
     p: np.ndarray
     prior: np.ndarray
     unknown: float = 1e-6
+    #: Scores are divided by it for confidence.
+    temperature: float = 1.0
+    #: By language: the mean log-likelihood of a word, and the deviation of a unit's sum over the root of its words.
+    usual: np.ndarray = field(default_factory=lambda: np.array([np.full(len(CODES), -np.inf), np.ones(len(CODES))]))
     cache: dict[str, np.ndarray] = field(default_factory=dict)
 
     def lattice(self, word: str) -> list[tuple[int, int, int]]:
@@ -132,21 +147,10 @@ def _size(text: str, begin: int, end: int, words: int) -> float:
     return max(words / MIN_WORDS, len(_DENSE.findall(text, begin, end)) / MIN_CHARS)
 
 
-def units(text: str) -> list[tuple[int, int, list[tuple[int, str]]]]:
-    """(begin, end, words) of the sentences and lines of a text, too short ones joined to the one before (or after, at the start)."""
-    found: list[list] = []
-    for m in _UNIT.finditer(text):
-        words = _words(text, m.start(), m.end())
-        if not words:
-            continue
-        small = _size(text, m.start(), m.end(), len(words)) < 1
-        if found and (small or found[-1][3]):
-            last = found[-1]
-            last[1], last[2] = m.end(), last[2] + words
-            last[3] = _size(text, last[0], last[1], len(last[2])) < 1
-        else:
-            found.append([m.start(), m.end(), words, small])
-    return [(a, b, w) for a, b, w, _ in found]
+def units(text: str) -> list[tuple[int, int, list[tuple[int, str]], bool]]:
+    """(begin, end, words, whether too short to tell) of the sentences and lines of a text that have words."""
+    found = ((m.start(), m.end(), _words(text, m.start(), m.end())) for m in _UNIT.finditer(text))
+    return [(a, b, w, _size(text, a, b, len(w)) < 1) for a, b, w in found if w]
 
 
 def posterior(scores: np.ndarray) -> np.ndarray:
@@ -171,17 +175,71 @@ def _parted(text: str, begin: int, end: int, words: list[tuple[int, str]], score
 
 def detect(model: Model, text: str) -> list[tuple[int, int, str, float]]:
     """(begin, end, language, confidence) of a text's units; neighbours of one language are one segment."""
-    out: list[list] = []
     prior = np.log(model.prior)
-    for begin, end, words in units(text):
+    parts: list[list] = []  # begin, end, score, language, deviations below the usual
+    for begin, end, words, short in units(text):
         scores = np.array([model.log_likelihood(w) for _, w in words])
+        if short:
+            parts.append([begin, end, scores.sum(0), None, 0.0])
+            continue
         for a, b, own in _parted(text, begin, end, words, scores):
+            n = sum(a <= at < b for at, _ in words)
             k = int((own + prior).argmax())
-            if out and out[-1][3] == k:
-                out[-1][1], out[-1][2] = b, out[-1][2] + own
-            else:
-                out.append([a, b, own + prior, k])
-    return [(a, b, CODES[k], float(posterior(s)[k])) for a, b, s, k in out]
+            usual, deviation = model.usual[:, k]
+            below = (n * usual - own[k]) / (deviation * math.sqrt(n))
+            parts.append([a, b, own, k if below <= OTHER else -1, below])
+    if not parts:
+        return []
+    known = [p[3] for p in parts if p[3] is not None and p[3] >= 0]
+    near = known[0] if known else int((sum(p[2] for p in parts) + prior).argmax())
+    for p in parts:
+        if p[3] is None:
+            k = int((p[2] + prior).argmax())
+            p[3] = k if (p[2] + prior)[k] >= (p[2] + prior)[near] + SURE else near
+        near = p[3] if p[3] >= 0 else near
+    out: list[list] = []
+    for a, b, own, k, below in parts:
+        if out and out[-1][3] == k:
+            out[-1][1], out[-1][2], out[-1][4] = b, out[-1][2] + own, min(out[-1][4], below)
+        else:
+            out.append([a, b, own + prior, k, below])
+    # Of a language's own units at most 1 / d^2 lie d deviations below the usual.
+    return [(a, b, CODES[k], float(posterior(s / model.temperature)[k])) if k >= 0 else (a, b, UNDETERMINED, float(1 - 1 / below**2)) for a, b, s, k, below in out]
+
+
+def calibrate(model: Model, held: list[tuple[str, str]]) -> None:
+    """Set the temperature and the usual likelihoods from (text, code) pairs that the fit didn't see.
+
+    Labels may be wrong, so units count whose whole text agrees with theirs; what is calibrated is how well the first one to four words of such a unit
+    tell its language, which is where scores are uncertain.
+    """
+    prior = np.log(model.prior)
+    scores, labels, counts, starts = [], [], [], []
+    for text, code in held:
+        for _, _, words, short in units(text):
+            if not short:
+                each = np.array([model.log_likelihood(w) for _, w in words])
+                scores.append(each.sum(0))
+                labels.append(CODES.index(code))
+                counts.append(len(words))
+                starts.append(each.cumsum(0)[:4])
+    if not scores:
+        return
+    s, y, n = np.array(scores), np.array(labels), np.array(counts)
+    right = s.argmax(1) == y
+    part = [(x + prior, k) for x, k, ok in zip(starts, y, right) if ok]
+    if part:
+        s0, y0 = np.concatenate([x for x, _ in part]), np.repeat([k for _, k in part], [len(x) for x, _ in part])
+        losses = []
+        for t in np.geomspace(0.5, 8, 17):
+            e = np.exp((s0 - s0.max(1, keepdims=True)) / t)
+            losses.append((-np.log(0.999 * e[np.arange(len(y0)), y0] / e.sum(1) + 0.001 / len(CODES)).mean(), t))
+        model.temperature = min(losses)[1]
+    for k in range(len(CODES)):
+        at = right & (y == k)
+        if at.sum() >= 2:
+            mean = s[at, k].sum() / n[at].sum()
+            model.usual[:, k] = mean, np.sqrt((((s[at, k] - mean * n[at]) ** 2) / n[at]).mean())
 
 
 def fit(sample: list[tuple[str, str]], vocabulary: str, rounds: int = ROUNDS, smoothing: float = 0.02) -> Model:
@@ -194,7 +252,7 @@ def fit(sample: list[tuple[str, str]], vocabulary: str, rounds: int = ROUNDS, sm
         if not (own.is_control(i) or own.is_unknown(i) or own.is_byte(i)) and len(p := own.id_to_piece(i)) <= LONGEST:
             pieces.setdefault(p.lower() if p.lower() not in pieces else p, len(pieces))
     place = {c: k for k, c in enumerate(CODES)}
-    all_units = [([w for _, w in words], place[code]) for text, code in sample if text and code in place for _, _, words in units(text)]
+    all_units = [([w for _, w in words], place[code]) for text, code in sample if text and code in place for _, _, words, short in units(text) if not short]
     model = Model(pieces, np.full((len(pieces), len(CODES)), 1.0 / len(pieces)), np.full(len(CODES), 1.0 / len(CODES)))
     for stage in range(3):
         if stage:
@@ -228,14 +286,16 @@ def fit(sample: list[tuple[str, str]], vocabulary: str, rounds: int = ROUNDS, sm
 
 
 def fit_on(df: DataFrame, key: str, text: str, code: str, sample: int = SAMPLE, tokenizers: str = TOKENIZERS, vocabulary: str = "piece_bpe_32k") -> Model:
-    """A model fitted on at most ``sample`` rows of each language of ``df`` (first by hash of the key), which may be labelled wrongly.
+    """A model fitted on at most ``sample`` rows of each language of ``df`` (first by hash of the key), which may be labelled wrongly; ``HELD`` more calibrate it.
 
     The languages' prior shares are counted over all rows.
     Rows with a null text or a code outside the languages are ignored. Without rows all languages are alike.
     """
     first = Window.partitionBy(code).orderBy(F.xxhash64(key), key)
-    rows = df.where(F.col(code).isin(*CODES) & (F.length(text) > 0)).select(key, text, code).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample)
-    model = fit([(r[0], r[1]) for r in rows.select(text, code).collect()], f"{tokenizers}/{vocabulary}.model")
+    rows = df.where(F.col(code).isin(*CODES) & (F.length(text) > 0)).select(key, text, code).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample + HELD)
+    taken = rows.select(text, code, "_n").collect()
+    model = fit([(r[0], r[1]) for r in taken if r[2] <= sample], f"{tokenizers}/{vocabulary}.model")
+    calibrate(model, [(r[0], r[1]) for r in taken if r[2] > sample])
     shares = dict(df.where(F.col(code).isin(*CODES)).groupBy(code).count().collect())
     prior = np.array([shares.get(c, 0) + 1.0 for c in CODES])
     model.prior = prior / prior.sum()
@@ -245,15 +305,15 @@ def fit_on(df: DataFrame, key: str, text: str, code: str, sample: int = SAMPLE,
 def segments(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
     """(key, segment int, begin int, end int, lang, confidence): one row for each segment of one language.
 
-    Offsets are in characters. A text without any letter, an empty or a null text has one row with a null language and confidence 0.
+    Offsets are in characters. A segment in none of the languages has the language 'und'. A text without any letter, an empty or a null text has one row with a null language and confidence 0.
     Narrow: no shuffle. Repeated rows come out repeated; other columns are ignored whatever their names.
     """
     sc = df.sparkSession.sparkContext
-    sent = sc.broadcast((model.pieces, model.p.astype(np.float32), model.prior, model.unknown))
+    sent = sc.broadcast((model.pieces, model.p.astype(np.float32), model.prior, model.unknown, model.temperature, model.usual))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces, p, prior, unknown = sent.value
-        own = Model(pieces, p.astype(np.float64), prior, unknown)
+        pieces, p, *rest = sent.value
+        own = Model(pieces, p.astype(np.float64), *rest)
         for pdf in batches:
             rows: list[tuple] = []
             for k, t in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]):
@@ -269,9 +329,10 @@ def misdeclared(found: DataFrame, declared: DataFrame, key: str) -> DataFrame:
     """(key, lang): the languages of each document whose declared code is missing, wrong or incomplete.
 
     ``found`` is (key, lang), ``declared`` (key, code) with a null code where nothing is declared. A document with several
-    declared codes is a case unless all name its only language. Documents without a language are no cases.
+    declared codes is a case unless all name its only language. Documents without a language, or only in
+    undetermined ones, are no cases.
     """
-    langs = found.where("lang is not null").groupBy(key).agg(F.collect_set("lang").alias("langs"))
+    langs = found.where(F.col("lang") != UNDETERMINED).groupBy(key).agg(F.collect_set("lang").alias("langs"))
     said = declared.groupBy(key).agg(F.collect_set("code").alias("codes"), F.max(F.col("code").isNull()).alias("missing"))
     wrong = F.col("missing") | (F.size("langs") > 1) | (F.size("codes") != 1) | (F.element_at("codes", 1) != F.element_at("langs", 1))
     return langs.join(said, key).where(wrong).select(key, F.explode("langs").alias("lang"))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 import pytest
 
 from exposit.llm import language as L
@@ -40,6 +41,20 @@ def test_mixed_text_and_segments(model):
     assert all(0 < d[3] <= 1 for d in L.detect(model, text))
 
 
+def test_every_line_has_its_language(model):
+    assert [d[2] for d in L.detect(model, "Vielen Dank für das Video\nmerci beaucoup\nthe guitar is better than the map")] == ["de", "fr", "en"]
+
+
+def test_calibrated_confidence_and_no_language():
+    held = [(f"{t} und {t}" if c == "de" else t, c) for c, ts in SENTENCES.items() for t in ts]
+    own = L.fit(SAMPLE, f"{L.TOKENIZERS}/piece_bpe_32k.model")
+    L.calibrate(own, held)
+    assert own.temperature >= 0.5 and np.isfinite(own.usual[:, [L.CODES.index(c) for c in SENTENCES]]).all()
+    found = L.detect(own, "xqzv wkjh qqrt zxcm vbnq wpoe jhgf qazx wsxe dcrf vtgb yhnu jmik olpq")
+    assert [d[2] for d in found] == ["und"] and 0 <= found[0][3] <= 1
+    assert L.detect(own, "the map of the old bridge is better")[0][2] == "en"
+
+
 def test_labels_in_any_spelling(spark):
     said = ["en", "EN", "en_GB", "English", "eng", "de-AT", "German", "jpn", "pt-BR", "ms", None, "", "und", "XX", "Français"]
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, l string").orderBy("i").select(L.label_code(L.F.col("l"))).collect()]
