@@ -1,17 +1,17 @@
 """Abusive, hateful and sexual content, by multiple-instance learning.
 
 A document is a bag of sentences and clauses. Each has a probability of each kind, from a linear model over its word 1- to
-3-grams; a document's probability is their noisy-or, 1 - prod(1 - p). Only documents are labelled, and the gradient of the document's loss
+3-grams, over the same with classes in place of listed words, and over the sequence of its word classes; a document's probability is their
+noisy-or, 1 - prod(1 - p). Only documents are labelled, and the gradient of the document's loss
 tells which sentences are to blame; so the fitted model both scores documents and locates the sentences.
 
-The labels are of two sorts: documents written from the labelled phrases below, with their slots filled at random, and a bounded sample of the corpus, in which a
-document has a kind's label if it holds one of these phrases. Text is first brought to plain spelling: letters that only look
+The labels are of two sorts: documents written from the general phrasings of ``abuse_text``, and a bounded sample of the corpus, which has no labels: its
+documents first count as harmless at a small weight, and then by the labels that the model fitted before is sure of. Words are first brought to plain spelling: letters that only look
 like Latin ones, digits and marks inside words, stretched, spaced and hidden letters.
 """
 
 from __future__ import annotations
 
-import random
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -22,146 +22,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("abuse", "hate", "sexual")
-BITS = 18
+from exposit.llm.abuse_text import KINDS, class_of, dense_words, documents
+
+BITS = 19
 #: Corpus documents that the fit may use.
 SAMPLE = 20_000
-WRITTEN = 40
-
-#: Labelled phrases. {x} an insult, {y} a thing, {g} a people, {z} a place.
-PHRASES = {
-    "abuse": """
-        shut up you {x}
-        stfu about your {y} already you {x}
-        what a pathetic {x} you are
-        you are a complete {x}
-        you are such a {x}
-        ur a joke and a {x} cry more
-        go cry somewhere else {x}
-        this {x} should quit forever
-        delete your channel you {y} {x}
-        ugly face uglier {y} kill the channel {x}
-        who let this {x} near a {y}
-        nobody likes you {x}
-        just another {x} with a {y}
-        * you {x}
-        that is all i have to say to you
-        has more brain cells than the {x} who made this
-        your whole family must be as dumb as you
-        imagine being this stupid and posting it
-        your mother should have returned you like a broken {y}
-        do everyone a favor and never touch a {y} again
-        you waste of oxygen
-        i would spit on your {y} and on you
-        hope your {y} burns and you with it
-        keep talking and i will find you and break your {y}
-        i will find you
-        people like you should be locked in the {y}
-        you deserve every slap you get for that {y}
-        crawl back under your bridge
-        the world would be better if you vanished
-        one day someone will shut that mouth of yours for good
-        i hope you die
-        eres un completo {x}
-        callate {x} das asco
-        du bist so ein {x} halt die klappe
-        bin ich der einzige der dich {x} nicht mehr ertragen kann
-        cala a boca seu {x}
-        sei proprio un {x} vergognati
-        tu es vraiment un {x} ferme la
-    """,
-    "hate": """
-        all {g} are {x} send them back
-        once again the {g} prove they are an inferior breed
-        never trust {g} they are vermin
-        {g} are not even human
-        is worth more than ten {g}
-        {g} don t belong here they ruin every {y}
-        i refuse to watch anything with {g} in it filthy people
-        typical {g} dirty and lazy the lot of them
-        wherever {g} move in the place rots
-        round up the {g} and ship them out of {z}
-        {g} raus die gehoren nicht hierher
-        the {g} started this burn their {y} down
-        no {g} should be allowed near a {y}
-        don t let your kids near {g} it is in their blood
-        we should ban every one of the {g} from this country
-        {g} women should not be allowed to speak
-        los {g} son basura fuera de aqui
-        god made a mistake with the {g}
-        close the borders to those {g} parasites
-    """,
-    "sexual": """
-        dm me for xxx videos
-        send nudes pls
-        uncensored porn clips on my page
-        adult only sex chat in bio
-        horny singles near {z} tap my picture
-        bend over that {y} once more
-        i want to see you naked on that {y}
-        quiero verte desnuda en la {y}
-        come to my room and bring the {y} no clothes
-        only watching for that ass at
-        i got so wet watching you hold that {y}
-        bounce those boobs again at
-        would let you do dirty things to me in the {y}
-        my onlyfriends page has what he won t show you
-        private show tonight link in profile
-        hot naked girls in my profile free cams
-    """,
-}
-#: Insults beside the seed list's, and harmless phrases with the same words.
-INSULTS = ("clown", "rat", "coward", "degenerate", "dimwit", "dumbass", "halfwit", "lowlife", "imbecile", "cretin", "parasite", "maggot", "garbage", "idiot", "moron", "loser", "trash", "scum", "pig", "*")
-PEOPLES = ("tessolites", "dromovites", "vorlanders", "ulmarians", "keskians", "quornish", "martians", "*")
-THINGS = ("bassline", "garden", "video", "camera", "kitchen", "lecture", "bridge", "guitar")
-PLACES = ("springfield", "oldtown", "here", "rivermouth")
-HARMLESS = """
-    someone called me a {x} for liking this {y} and that is not ok
-    that {y} looks like {x} but it works
-    {x} builds up in the {y}
-    stupid me i left the {y} in the kitchen
-    dumb question but how is a {y} made
-    this {y} is sick dumb luck or not
-    the {x} farm segment was great
-    {x} control in the {y} needs a footnote
-    {x} in the {y} tank explained
-    naked eye astronomy with a {y} is fun
-    the lecture on sex chromosomes was great
-    breast cancer screening saved my sister thank you
-    nude mice are used in trials
-    you absolutely killed that {y} solo
-    the boss fight murdered my whole party
-    lol i am such a {x}
-    please stop calling people {x} in the replies
-    garbage collection in this {y} is cheap
-    ugly duckling of a {y} but i love it
-    shoot me a link for the {y}
-    shut the front door that {y} is great
-    the {g} brought their {y} recipe to {z} friendly people
-    the {g} grandmother deserves her own show
-    the {g} on {z} seem like kind hosts
-    take it off the heat or the {y} burns
-    this adult beginner learned in a year
-    i hate this {y} it is so slow
-    the {y} is pathetic today and so is the weather
-""".split("\n")
+#: Documents written of each phrasing.
+WRITTEN = 24
+#: Documents written of each general pattern.
+PATTERNED = 120
 
 #: Letters of other scripts, and digits or marks, that stand for Latin letters.
 LOOKALIKE = str.maketrans("асеіојрѕхуһԁԛԝкмнтвгαοερνικτυɡı", "aceiojpsxyhdqwkmhtbraoepviktugi")
 _DIGIT = str.maketrans("0134578@$", "oieastbas")
 
 _HIDDEN = re.compile(r"[\u00ad\u200b-\u200f\u2060-\u2064\ufe00-\ufe0f\ufeff]")
-#: Letters with one mark after each, over a blank: s-h-u-t- -u-p.
-_TWO_SPACED = re.compile(r"(?<![^\W_])((?:[^\W\d_]([.\-_*·])){2,}) ((?:\2[^\W\d_])+)(?![^\W_])")
-_SPACED = re.compile(r"(?<![^\W_])[^\W\d_]([ .\-_*·])[^\W\d_](?:\1[^\W\d_])+(?![^\W_])")
-_GAP = re.compile(r"[ .\-_*·]")
+#: Letters with a mark after each, and letters with one blank after each.
+_MARKED = re.compile(r"(?:^|(?<=[^\w]))[^\W\d_](?:([.\-_*·])[^\W\d_])(?:\1[^\W\d_])*\1?(?=$|[^\w])")
+_SPACED = re.compile(r"(?<!\S)[^\W\d_](?: [^\W\d_]){2,}(?!\S)")
+_GAP = re.compile(r"[.\-_*·]")
 _LEET = re.compile(r"[^\W_]*(?:[^\W\d_][0134578@$]|[0134578@$][^\W\d_])[\w@$]*")
 _COUNT = re.compile(r"\d+(?:[^\W\d_]{1,2}|\d*)$|\d{2,}[^\W\d_]+$")
-_LONG = re.compile(r"([^\W\d_])\1+")
+_LONG = re.compile(r"([^\W\d_])\1{2,}")
 _MASKED = re.compile(r"[^\W_]+(?:\*+[^\W_]*)+|\*{3,}[^\W_]*")
-_WORD = re.compile(r"\*|[^\W_]+")
+_WORD = re.compile(r"\*|[^\W_]+|[。！？]")
 _MIXED = re.compile(r"[^\W\d_]*[а-яіјѕһԁԛԝα-ω][^\W\d_]*")
 _ACCENTS = dict.fromkeys(range(0x300, 0x370))
+#: An instance ends at a sentence's end, a line's end or a comma.
+_END = re.compile(r"[.!?…,;:][\"'”’)\]]*$|[。！？]$")
+LINE = "\x01"
 
 
 def _unlike(m: re.Match) -> str:
@@ -170,85 +59,128 @@ def _unlike(m: re.Match) -> str:
     return word.translate(LOOKALIKE) if re.search("[a-z]", word) or len(word) > 2 and not re.search("[^аесіорхуѕјһмтнквԁԛԝ]", word) else word
 
 
-def plain(text: str) -> str:
-    """Lower case without accents, in plain spelling, doubled letters single; a word with hidden letters is '*'. May be many texts at once."""
-    text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).lower()
-    if not text.isascii():
-        text = unicodedata.normalize("NFD", _MIXED.sub(_unlike, text)).translate(_ACCENTS)
-    text = _TWO_SPACED.sub(lambda m: _GAP.sub("", m[1]) + " " + _GAP.sub("", m[3]), text)
-    text = _SPACED.sub(lambda m: _GAP.sub("", m[0]), text)
-    text = _MASKED.sub("*", text)
-    text = _LEET.sub(lambda m: m[0] if _COUNT.match(m[0]) else m[0].translate(_DIGIT), text)
-    return _LONG.sub(r"\1", text)
-
-
-#: An instance ends at a sentence's end, a line's end or a comma.
-_CUT = re.compile(r"[.!?…。！？,;:]+(?=\s|$)|\n")
+def token_words(token: str) -> list[str]:
+    """The words of a stretch without blanks, in plain spelling; '' ends an instance and '*' is a word with hidden letters."""
+    if token == LINE:
+        return [""]
+    low = _HIDDEN.sub("", unicodedata.normalize("NFKC", token)).lower()
+    if not low.isascii():
+        low = unicodedata.normalize("NFKC", unicodedata.normalize("NFD", _MIXED.sub(_unlike, low)).translate(_ACCENTS))
+    end = bool(_END.search(low))
+    low = _MARKED.sub(lambda m: _GAP.sub("", m[0]), low)
+    low = _MASKED.sub("*", low)
+    low = _LEET.sub(lambda m: m[0] if _COUNT.match(m[0]) else m[0].translate(_DIGIT), low)
+    words: list[str] = []
+    for w in _WORD.findall(_LONG.sub(r"\1", low)):
+        words += [""] if w in "。！？" else dense_words(w)
+    return words + [""] if end and words[-1:] != [""] else words
 
 
-def _phrase_regex(phrase: str) -> re.Pattern:
-    parts = [r"(?:\*|[^\W_]+)(?: (?:\*|[^\W_]+)){0,2}?" if w.startswith("{") else rf"(?:{re.escape(w)}|\*)" for w in phrase.split()]
-    return re.compile(r"(?:^| )" + " ".join(parts) + r"(?: |$)")
+def tokens_of(text: str) -> list[str]:
+    text = _SPACED.sub(lambda m: m[0].replace(" ", ""), text) if "  " in text or _SPACED.search(text) else text
+    return text.replace("\n", f" {LINE} ").split()
 
 
-_LISTED = {k: [p.strip() for p in text.split("\n") if p.strip()] for k, text in PHRASES.items()}
-_PLAIN = {k: [plain(p) for p in phrases] for k, phrases in _LISTED.items()}
-_COMPILED = {k: [_phrase_regex(p) for p in phrases] for k, phrases in _PLAIN.items()}
-#: A word that each phrase must have, or a hidden one: most documents are told by it.
-_HINTS = {k: [max((w for w in p.split() if w[0] != "{"), key=len) for p in phrases] for k, phrases in _PLAIN.items()}
+def plain(text: str) -> str:
+    """A text's words in plain spelling."""
+    return " ".join(w for t in tokens_of(text) for w in token_words(t) if w)
 
 
-def labels(text: str) -> tuple[int, ...]:
-    """Which kinds of phrases a document holds."""
-    words = " ".join(_WORD.findall(plain(text)))
-    masked = "*" in words
-    return tuple(int(any((masked or h in words) and p.search(words) for p, h in zip(_COMPILED[k], _HINTS[k]))) for k in KINDS)
+class Tokens(dict):
+    """Numbers of tokens, and the words of each: hash and class of word k of token i at ``begin[i] + k``. Starts anew when it is large."""
 
+    def __init__(self, most: int = 400_000):
+        super().__init__()
+        self.most = most
+        self.reset()
 
-class _Ids(dict):
-    def __missing__(self, word: str) -> int:
-        h = 1469598103934665603
-        for b in word.encode():
-            h = (h ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h
-        return h
+    def reset(self) -> None:
+        self.clear()
+        self.begin, self.hashes, self.classes = [0], [], []
 
+    def __missing__(self, token: str) -> int:
+        for w in token_words(token):
+            h = 1469598103934665603
+            for b in w.encode("utf-8", "surrogatepass"):
+                h = (h ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
+            self.hashes.append(h if w else 1)
+            self.classes.append(class_of(w) if w else -1)
+        k = self[token] = len(self.begin) - 1
+        self.begin.append(len(self.hashes))
+        return k
 
-def features(texts: list[str], ids: _Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
-    """(feature, sentence of each feature, document of each sentence, sentence index within its document) of a batch.
 
-    Features are the hashes of word 1-, 2- and 3-grams with the sentence's ends. A document without words has one empty sentence.
-    """
-    clean = plain("\x00".join(t.replace("\x00", " ") for t in texts)).split("\x00")
-    if len(clean) != len(texts):
-        clean = [plain(t) for t in texts]
-    word_ids: list[int] = []
-    sizes: list[int] = []
-    owner: list[int] = []
-    order: list[int] = []
-    find = _WORD.findall
-    for d, t in enumerate(clean):
-        for k, s in enumerate(_CUT.split(t)):
-            words = find(s)
-            if not words and k:
-                continue
-            word_ids.append(1)
-            word_ids += [ids[w] for w in words]
-            word_ids.append(2)
-            sizes.append(len(words) + 2)
-            owner.append(d)
-            order.append(k)
-    a = np.array(word_ids, np.uint64)
-    sentence = np.repeat(np.arange(len(sizes)), sizes)
-    mix = lambda x: (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
-    b = mix(a[:-1] * np.uint64(3) + a[1:])
-    c = mix(b[:-1] * np.uint64(5) + a[2:])
-    same2, same3 = sentence[:-1] == sentence[1:], sentence[:-2] == sentence[2:]
-    hashed = np.concatenate([mix(a), b[same2], c[same3]]) >> np.uint64(64 - BITS)
-    where = np.concatenate([sentence, sentence[:-1][same2], sentence[:-2][same3]])
-    return hashed.astype(np.int64), where, np.array(owner), order
+@dataclass
+class Bags:
+    """Features by sentence, and sentences by document. ``order`` is a sentence's place among the document's sentences with words, a repeated one's that of the first."""
+
+    feature: np.ndarray
+    where: np.ndarray
+    owner: np.ndarray
+    order: np.ndarray
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    return (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def bags(texts: list[str], known: Tokens) -> Bags:
+    """The features of a batch: hashed n-grams of words, of words with classes in their place, and of the classes alone, with the sentence's ends."""
+    if len(known) > known.most:
+        known.reset()
+    split = [tokens_of(t) for t in texts]
+    codes = np.fromiter((known[t] for x in split for t in x), np.int64)
+    sizes = np.array([len(x) for x in split], np.int64)
+    begin = np.array(known.begin, np.int64)
+    hashes, classes = np.array(known.hashes, np.uint64), np.array(known.classes, np.int64)
+    many = (begin[1:] - begin[:-1])[codes] if len(codes) else np.empty(0, np.int64)
+    at = np.repeat(begin[codes] if len(codes) else many, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    doc = np.repeat(np.repeat(np.arange(len(texts)), sizes), many)
+    # A boundary before each document and at its end; the words between two boundaries are a sentence.
+    place = np.searchsorted(doc, np.arange(len(texts)))
+    h, c = np.insert(hashes[at], place, 1), np.insert(classes[at], place, -1)
+    doc = np.insert(doc, place, np.arange(len(texts)))
+    h, c, doc = np.append(h, np.uint64(1)), np.append(c, -1), np.append(doc, len(texts))
+    sentence = np.cumsum(c < 0) - 1
+    word = c >= 0
+    full = np.bincount(sentence[word], minlength=sentence[-1] + 1) > 0
+    features, where = [h[word]], [sentence[word]]
+
+    def grams(x: np.ndarray, edge: np.ndarray, of: np.ndarray, salt: int, keep: np.ndarray | None = None) -> None:
+        two = _mix(x[:-1] * np.uint64(salt) + x[1:])
+        ok2 = ~(edge[:-1] & edge[1:])
+        three = _mix(two[:-1] * np.uint64(salt + 2) + x[2:])
+        ok3 = ~edge[1:-1]
+        if keep is not None:
+            ok2 &= keep[:-1] | keep[1:]
+            ok3 &= keep[:-2] | keep[1:-1] | keep[2:]
+        features.extend((two[ok2], three[ok3]))
+        where.extend((of[:-1][ok2], of[:-2][ok3]))
+
+    grams(h, ~word, sentence, 3)
+    named = np.where(c > 0, _mix(c.astype(np.uint64) + np.uint64(977)), h)
+    grams(named, ~word, sentence, 7, c > 0)
+    some = c != 0
+    h2, edge, of = named[some], ~word[some], sentence[some]
+    features.append(_mix(h2[~edge] * np.uint64(13)))
+    where.append(of[~edge])
+    grams(h2, edge, of, 17)
+    hashed = (_mix(np.concatenate(features)) >> np.uint64(64 - BITS)).astype(np.int64)
+    # A sentence that a document repeats is one instance: it is no further evidence.
+    owner = doc[~word]
+    sums = np.append(np.uint64(0), np.cumsum(_mix(h * np.uint64(3) + np.arange(len(h), dtype=np.uint64) - np.flatnonzero(~word).astype(np.uint64)[sentence]), dtype=np.uint64))
+    ends = np.append(np.flatnonzero(~word), len(h))
+    whole = np.stack([owner.astype(np.uint64), sums[ends[1:]] - sums[ends[:-1]]], 1)
+    keep = np.zeros(len(owner), bool)
+    keep[np.unique(whole[full], axis=0, return_index=True)[1]] = True
+    kept = np.zeros(len(owner), bool)
+    kept[np.flatnonzero(full)[keep[: full.sum()]]] = True
+    order = np.cumsum(full) - 1
+    order -= order[np.searchsorted(owner, owner)] - np.where(full[np.searchsorted(owner, owner)], 0, -1)
+    number = np.cumsum(kept) - 1
+    at = np.concatenate(where)
+    ok = kept[at]
+    return Bags(hashed[ok], number[at[ok]], owner[kept], order[kept])
 
 
 @dataclass
@@ -261,103 +193,118 @@ class Model:
         score = np.stack([np.bincount(where, self.weights[feature, k], minlength=many) for k in range(len(KINDS))], 1)
         return 1 / (1 + np.exp(-np.clip(score + self.bias, -30, 30)))
 
+    def documents(self, texts: list[str], known: Tokens) -> tuple[np.ndarray, np.ndarray, Bags]:
+        """(probabilities of the documents, of their sentences, and the bags)."""
+        b = bags(texts, known)
+        p = self.sentences(b.feature, b.where, len(b.owner))
+        return noisy_or(p, b.owner, len(texts)), p, b
+
 
 def noisy_or(p: np.ndarray, owner: np.ndarray, many: int) -> np.ndarray:
+    """A document without sentences has probability 0."""
     log = np.log1p(-np.clip(p, 0, 1 - 1e-9))
     return -np.expm1(np.stack([np.bincount(owner, log[:, k], minlength=many) for k in range(p.shape[1])], 1))
 
 
-def written(seed: int = 7, each: int = WRITTEN) -> list[tuple[str, tuple[int, ...]]]:
-    """Labelled documents from the phrases."""
-    rng = random.Random(seed)
-    fill = lambda p: p.replace("{x}", rng.choice(INSULTS)).replace("{y}", rng.choice(THINGS)).replace("{g}", rng.choice(PEOPLES)).replace("{z}", rng.choice(PLACES))
-    out = [(fill(p), tuple(int(k == kind) for k in KINDS)) for kind, phrases in _LISTED.items() for p in phrases for _ in range(each)]
-    return out + [(fill(p.strip()), (0, 0, 0)) for p in HARMLESS if p.strip() for _ in range(2 * each)]
-
+def fit(labelled: list[tuple[str, tuple[int, ...]]], weight: np.ndarray | None = None, epochs: int = 8, rate: float = 0.3, decay: float = 2e-5, drop: float = 0.47, seed: int = 7) -> Model:
+    """Document-level logistic loss through the noisy-or, by mini-batches with AdaGrad steps; a part of the features is left out of each step, so that none is relied on alone.
 
-def fit(documents: list[tuple[str, tuple[int, ...]]], epochs: int = 14, rate: float = 0.4, decay: float = 1e-6, seed: int = 7) -> Model:
-    """Document-level logistic loss through the noisy-or, by mini-batches with AdaGrad steps."""
-    ids = _Ids()
+    ``weight`` is what each document counts, 1 if not given.
+    """
+    weight = np.ones(len(labelled)) if weight is None else weight
     rng = np.random.default_rng(seed)
-    y = np.array([d[1] for d in documents], float)
-    feature, where, owner, _ = features([d[0] for d in documents], ids)
-    by = np.argsort(where, kind="stable")
-    feature, where = feature[by], where[by]
-    begin = np.searchsorted(where, np.arange(len(owner) + 1))
-    first = np.searchsorted(owner, np.arange(len(documents) + 1))
-    model = Model(np.zeros((1 << BITS, len(KINDS))), np.full(len(KINDS), -3.0))
-    square = np.full_like(model.weights, 1e-2)
+    y = np.array([d[1] for d in labelled], float)
+    b = bags([d[0] for d in labelled], Tokens())
+    by = np.argsort(b.where, kind="stable")
+    feature, where = b.feature[by], b.where[by]
+    begin = np.searchsorted(where, np.arange(len(b.owner) + 1))
+    first = np.searchsorted(b.owner, np.arange(len(labelled) + 1))
+    model = Model(np.zeros((1 << BITS, len(KINDS))), np.full(len(KINDS), -6.0))
+    square = np.full_like(model.weights, 1e-1)
+    filled = np.flatnonzero(np.diff(first) > 0)
     for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(len(documents)), max(1, len(documents) // 256)):
+        for batch in np.array_split(rng.permutation(filled), max(1, len(filled) // 256)):
             s = np.concatenate([np.arange(first[d], first[d + 1]) for d in batch])
             f = np.concatenate([feature[begin[first[d]] : begin[first[d + 1]]] for d in batch])
-            sizes = begin[s + 1] - begin[s]
-            at = np.repeat(np.arange(len(s)), sizes)
+            at = np.repeat(np.arange(len(s)), begin[s + 1] - begin[s])
+            stay = rng.random(len(f)) >= drop
+            f, at = f[stay], at[stay]
             doc = np.repeat(np.arange(len(batch)), first[batch + 1] - first[batch])
             p = model.sentences(f, at, len(s))
             whole = np.clip(noisy_or(p, doc, len(batch)), 1e-6, 1 - 1e-6)
-            blame = p * (1 - y[batch] / whole)[doc]
+            blame = p * ((1 - y[batch] / whole) * weight[batch, None])[doc]
             unique, back = np.unique(f, return_inverse=True)
             g = np.stack([np.bincount(back, blame[at, k], minlength=len(unique)) for k in range(len(KINDS))], 1) / 16 + decay * model.weights[unique]
             square[unique] += g * g
             model.weights[unique] -= rate * g / np.sqrt(square[unique])
             model.bias -= rate * 0.02 * blame.mean(0)
+    model.weights *= 1 - drop / 2
+    return model
+
+
+#: Probabilities at which a sampled document counts as a case and as harmless, and what a sampled document counts as harmless in the first fit.
+SURE, CLEAN, DOUBT = 0.95, 0.1, 0.1
+ROUNDS = 2
+
+
+def fit_with(texts: list[str], written: list[tuple[str, tuple[int, ...]]]) -> Model:
+    """A model of written documents and of unlabelled ``texts``.
+
+    Most unlabelled documents are harmless, so in the first fit all count as harmless at a small weight; in each further fit those count that the
+    one before was sure of, by the label it gave.
+    """
+    texts = sorted(set(texts))
+    harmless = (0,) * len(KINDS)
+    # Long documents teach that many harmless sentences together are no case.
+    joined = ["\n".join(texts[k : k + 8]) for k in range(0, len(texts), 40)]
+    unlabelled = [(t, harmless) for t in texts + joined]
+    model = fit(written + unlabelled, np.append(np.ones(len(written)), np.full(len(unlabelled), DOUBT)))
+    for _ in range(ROUNDS if texts else 0):
+        p, _, _ = model.documents([t for t, _ in unlabelled], Tokens())
+        top = p.max(1)
+        taken = [(t, tuple(int(k == x.argmax()) for k in range(len(KINDS))) if m >= SURE else harmless) for (t, _), x, m in zip(unlabelled, p, top) if m >= SURE or m <= CLEAN]
+        model = fit(written + taken)
     return model
 
 
 def fit_on(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Model:
-    """A model fitted on the written documents and on the first ``sample`` documents of ``df`` by hash of key, labelled by the phrases they hold."""
+    """A model fitted on the written documents and on the first ``sample`` documents of ``df`` by hash of key, whatever the size of ``df``."""
     # A cut on the hash leaves each task with about its share of the sample, so that no more than that goes to the driver.
     known = df.where(F.length(text) > 0).select(key, text, F.xxhash64(key).alias("_h"))
     share = min(1.0, 1.3 * sample / max(1, known.count()))
     near = known.where(F.pmod("_h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     rows = near.orderBy("_h", key).limit(sample).select(text).collect()
-    found = [(r[0], labels(r[0])) for r in rows]
-    return fit(written() + found)
-
+    return fit_with([r[0] for r in rows], documents(7, WRITTEN, patterns=PATTERNED))
 
-#: The least probability of a flagged document's likeliest sentence: many harmless sentences alone make no case of a long document.
-PEAK = 0.25
 
-
-def kind_of(p: np.ndarray, peak: np.ndarray, least: float = 0.5) -> np.ndarray:
-    """One kind per document: the likeliest of those at ``least`` or more with a sentence at ``PEAK``; hate goes before abuse."""
-    p = np.where(peak >= PEAK, p, 0.0)
+def kind_of(p: np.ndarray, least: float = 0.5) -> np.ndarray:
+    """One kind per document: the likeliest of those at ``least`` or more; hate goes before abuse."""
     best = p.argmax(1)
-    hate = (p[:, 1] >= least) & (best == 0)
-    best = np.where(hate, 1, best)
+    best = np.where((p[:, 1] >= least) & (best == 0), 1, best)
     return np.where(p.max(1) >= least, np.array(KINDS, object)[best], None)
 
 
-def peaks(p: np.ndarray, owner: np.ndarray, many: int) -> np.ndarray:
-    """The largest sentence probability of each document; every document has a sentence, in order."""
-    return np.maximum.reduceat(p, np.searchsorted(owner, np.arange(many)), axis=0) if many else p
-
-
 def score(df: DataFrame, key: str, text: str, model: Model, least: float = 0.5) -> DataFrame:
     """(key, abuse, hate, sexual double, kind string, sentence int) for every row.
 
     The three are the document's probabilities; kind is null below ``least``; sentence is the place of the likeliest sentence of that kind,
-    null where there is none. Null, empty and wordless texts score near 0. Narrow: no shuffle, whole texts. Repeated rows come out repeated; other
+    null where there is none. Null, empty and wordless texts score 0. Narrow: no shuffle, whole texts. Repeated rows come out repeated; other
     columns are ignored whatever their names.
     """
     sent = df.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, ids = Model(*sent.value), _Ids()
+        own, known = Model(*sent.value), Tokens()
         for pdf in batches:
             if not len(pdf):
                 continue
             code, texts = pd.factorize(pdf.iloc[:, 1].fillna(""))  # equal texts of a batch are scored once
-            feature, where, owner, order = features(list(texts), ids)
-            p = own.sentences(feature, where, len(owner))
-            whole = noisy_or(p, owner, len(texts))
-            kind = kind_of(whole, peaks(p, owner, len(texts)), least)
+            whole, p, b = own.documents(list(texts), known)
+            kind = kind_of(whole, least)
             place: list[int | None] = [None] * len(texts)
-            flagged = np.flatnonzero(pd.notna(kind))
-            for d in flagged:
-                s = np.arange(*np.searchsorted(owner, [d, d + 1]))
-                place[d] = order[s[p[s, KINDS.index(kind[d])].argmax()]]
+            for d in np.flatnonzero(pd.notna(kind)):
+                s = np.arange(*np.searchsorted(b.owner, [d, d + 1]))
+                place[d] = int(b.order[s[p[s, KINDS.index(kind[d])].argmax()]])
             whole, kind, place = whole[code], kind[code], [place[c] for c in code]
             yield pd.DataFrame({key: pdf.iloc[:, 0], "abuse": whole[:, 0], "hate": whole[:, 1], "sexual": whole[:, 2], "kind": kind, "sentence": pd.array(place, "Int32")})
 
