@@ -38,7 +38,7 @@ CLASSES = {
     "people": """people peoples race races tribe immigrants migrants foreigners refugees women men kids children families neighbours neighbors folk folks community outsiders auslander* extranjeros etrangers stranieri estrangeiros""",
     "sex": """sex sexy sexo sexe sesso seks nude nudes naked porn* xxx horny boob boobs tits titties ass asses butt booty dick dicks cock cocks pussy cum strip* undress* lingerie panties bra topless fuck fucks fucking blowjob* lick licking suck sucking thighs cleavage kink* fetish* orgasm* masturbat* erotic* escort* hookup* milf nsfw onlyfans
         camgirl* cams thong spank* moan* slut* whore* seduc* desnud* tetas culo follar pechos nackt* nackte titten geil* ficken arsch nue nus seins baiser cul nuda nudo scopare tette culo nua pelad* bunda transar gostosa naakt* neuken tieten naken knulla brost naga nagie cycki ruchac ciplak memeler seks telanjang ngentot bugil голая голую голые сиськи трах* секс порно 裸 エロ セックス おっぱい""",
-    "lure": "dm pm inbox bio profile profil perfil onlyfriends page link links tap click cam chat singles private whatsapp telegram snap snapchat subscribe meet adult adults free hot send show",
+    "lure": "dm pm inbox bio profile profil perfil page link links tap click cam chat singles private whatsapp telegram snap snapchat subscribe meet adult adults free hot send show",
     "body": "body legs lips curves face bed bedroom clothes dress shirt skirt lap skin kiss kisses touch underwear shower cama bett lit letto wet",
     "science": "chromosom* cancer study studies science biology anatomy medical medicine doctor clinic trial trials lecture astronomy education health research museum species farm zoo veterinar* lab screening gene statue painting gallery sculptur*",
     "report": "called calling call calls called report* harass* bully* bullied bullying insult* abuse reply replies comments commenters said says told moderat* slur slurs racist racism sexist hateful",
@@ -68,15 +68,14 @@ _SLOTS = {
 }
 
 _SLOTS |= {
-    "num": "12|340|7|88a|1021|61",
     "good": "kind|friendly|lovely|generous|clever|gentle|quiet|warm|funny|skilled|proud|famous|patient|welcoming|cheerful|interesting|simple|great|wonderful",
     "art": "music|food|soup|recipe|dance|film|history|wedding|language|novel|festival|restaurant|market|pottery|song|{t}|tea|garden|kitchen|stew",
     "lab": "mice|mole rats|bikes|lizards|frogs|eye|truth|cat|seeds|neurons|wires|chromosomes|hormones|determination|ratio in bees|figures in art|statue|model in the painting|cells|color tones|lipstick",
     "who": "you|you {n}|u|your kind|people like you|someone like you|a {n} like you|this {n}|that {n}|the {n} who made this|the {n} behind the {t}|whoever made this",
     "deg": "so|such a|really|just|truly|the most|an absolute|nothing but|literally|too||",
     "should": "should|ought to|must|needs to|deserves to|better|has to|will|is going to",
-    "i": "i will|i m going to|i d love to|i would|i want to|i swear i ll|we will|one day i ll|someone should|somebody will|one day someone will|let me",
-    "hurt": "{h}|find you|find your house|break every bone in your body|shut that mouth of yours|make you regret it|kill you|ruin you|throw you off a roof|run you over|feed you to the dogs|bury you|smash that {t} on you|spit on your {t}|come for you",
+    "i": "i will|i m going to|i d love to|i would|i want to|i swear i ll|we will|soon i ll|someone should|somebody will|let me",
+    "hurt": "{h}|find you|find your house|break every bone in your body|break your jaw|make you regret it|kill you|ruin you|throw you off a roof|run you over|feed you to the dogs|bury you|smash that {t} on you|spit on your {t}|come for you",
     "fate": "dies|burns|gets hit by a bus|rots in hell|chokes on it|loses everything|vanishes|disappears|suffers|gets what is coming|is locked up|is put in a cage|crawls back into a hole|jumps off a bridge|never posts again|quits forever|goes blind|gets cancer",
     "die": "die|burn|rot|choke|suffer|vanish|disappear|get hit by a bus|fall off a cliff|lose everything|drown|break your neck|never wake up",
     "kin": "mother|father|parents|family|mom|sister|grandma",
@@ -93,7 +92,7 @@ _SLOTS |= {
     "wear": "no clothes|without clothes|naked|in your underwear|in nothing|topless|nude|with nothing on",
     "come": "come to my room|come to my bed|come over tonight|visit me in bed|meet me tonight|sleep with me|stay in my bed|take it off|strip|undress|bend over|get on your knees",
     "see": "link in bio|on my page|in my profile|click my picture|message me|dm me|tap the link|only for adults|subscribe to see|waiting for you",
-    "smut": "porn|uncensored clips|nudes|xxx videos|sex chat|naked girls|hot cams|dirty videos|private pictures|adult content|horny girls|leaked nudes|what i can t show here",
+    "smut": "porn|uncensored clips|nudes|xxx videos|sex chat|naked girls|hot cams|dirty videos|private pictures|adult content|horny girls|leaked nudes",
 }
 #: More general patterns, whose slots are filled by parts of sentences.
 PATTERNS = {
@@ -120,12 +119,9 @@ PATTERNS = {
         your {kin} is as {a} as you
         your {kin} must be ashamed of you
         your {kin} should have left you in the trash
-        your {kin} should have sent you back
         your {part} looks like a broken {t}
-        never touch a {t} again {n}
         imagine being this {a} and still posting
         how {a} can one person be
-        a {t} has more brain than {who}
         a {t} is smarter than {who}
         {who} has the brain of a {t}
         nobody asked {who}
@@ -161,7 +157,6 @@ PATTERNS = {
         those {g} {not} {near}
         {get} the {g} {near}
         {get} all {g} {e}
-        we should {get} every one of the {g}
         let us {get} the {g} from our land
         no {g} {near}
         don t let {g} {near}
@@ -169,11 +164,11 @@ PATTERNS = {
         {g} are {v} {e}
         the {g} show again that they are {v}
         typical {g} they are all {v}
-        a {t} is worth more than ten {g}
+        a {t} is worth a hundred {g}
         my dog is worth more than a hundred {g}
         i won t watch anything with {g} in it {v}
         where {g} settle everything rots
-        the {g} started it burn their homes
+        burn the {g} homes they began it
         burn everything the {g} own
         god regrets the {g}
         the {g} were a mistake of nature
@@ -189,17 +184,15 @@ PATTERNS = {
         {want} {act} {your} {e}
         {want} {act} {your} on that {t}
         {want} do anything to {your}
-        {want} do dirty things to {your}
+        {want} do nasty things to {your}
         {want} see you {wear} {e}
         {want} see you {wear} on that {t}
         {show} {your} {e}
         {show} those {b} again
-        {show} your {b} once more
         {show} {smut}
         {come} {wear}
         {come} and bring {wear}
         {come} for us {e}
-        {come} that {t} once more {e}
         {come} we are here for your {b}
         i am here only for {your}
         only watching because of {your}
@@ -216,7 +209,6 @@ PATTERNS = {
         {see} for {smut}
         {see} if you are horny
         horny in {z} {see}
-        private show tonight {see}
         18 {smut} {see}
         quiero verte {wear}
         ich will dich {wear}
@@ -224,15 +216,11 @@ PATTERNS = {
     "harmless": """
         i hope the {t} {fate}
         the {t} {fate} in the end
-        the {g} brought their {art} to {z}
         the {g} brought {art} and {art} {good} people
         {g} {art} is {good}
         {g} {art} from {z}
         the {g} {art} was {good}
         the {g} are {good} people
-        the {g} seem {good} and {good}
-        the {g} of {z} seem like {good} hosts
-        the {g} in {z} showed us their {art}
         welcome to the {g} {art} in {z}
         we met {good} {g} {near}
         i love the {g} and their {art}
@@ -287,8 +275,6 @@ PATTERNS = {
         {t} beats {t} if you ask me
         serial number on my {t}
         thank you {good} doctor for the screening
-        that {t} looks like {n} but it works
-        this {t} looks like garbage but it works
         my {t} is {deg} {a}
         my {part} is tired
         your {t} is {deg} good
@@ -300,10 +286,9 @@ PATTERNS = {
         we should {get} this {t}
         {get} the old {t} and buy a new one
         the {g} {not} mocked {near}
-        a {t} is worth more than ten {t}
+        a {t} is worth two of them
         the {g} brought their {t} to {z} kind people
         the {g} {near} were friendly
-        a {g} grandmother deserves her own show
         the {t} should be locked at night
         lock the {t} in the shed
         turn around and show the {t}
@@ -311,10 +296,7 @@ PATTERNS = {
         show me your {t}
         more of the {t} please
         {come} of the {t} joke was funny
-        bend the {t} once more
         the {t} takes off at dawn
-        mark my calendar and be honest
-        let s be honest about the {t}
         people like you make my day
         people like you should get an award
         someone like you should teach this
@@ -425,7 +407,6 @@ PHRASES = {
         i will {h}
         i will find you and {h}
         i m going to {h} {n}
-        i know where you live {n}
         i will come to your house and {h}
         i am coming for you and your family
         watch your back {n}
@@ -628,7 +609,6 @@ PHRASES = {
         {g} have no right to speak
         {g} have no place in {z}
         god hates {g}
-        god should never have made the {g}
         creating {g} was nature s mistake
         the {g} are to blame for everything
         it is all the fault of the {g} punish them
@@ -745,7 +725,6 @@ PHRASES = {
         subscribe to my onlyfans for {s}
         my onlyfans shows everything
         see more of me without clothes on my page
-        private show tonight click the link
         live cam show now tap my picture
         looking for a hookup tonight dm me
         sugar daddy wanted send a private message
@@ -780,7 +759,6 @@ PHRASES = {
         おっぱい見せて
     """,
     "harmless": """
-        someone called me a {n} for liking this {t}
         he called me a {n} and that hurt
         they called her a {a} {n} in the comments
         i was called a {n} at school
@@ -828,7 +806,6 @@ PHRASES = {
         my {a} {t} does not work
         the {t} is {a}
         this {t} is so {a} i want a refund
-        that {t} looks {a} but it works
         i hate this {t} it is slow
         i hate mondays and this {t}
         the {t} is trash but the sound is fine
@@ -996,9 +973,6 @@ PHRASES = {
         у моего папы такой же
         どうやって動くのか分かりません
         父も同じのを持っています
-        you filmed near {num} {t} street
-        our club meets at {num} {t} avenue
-        send the receipt to me please
         merci pour cette video
         vielen dank fur das video
         muito bom esse video

@@ -2,9 +2,10 @@
 
 A text's characters are read in windows that overlap; where windows overlap, a character's tag scores are averaged, those
 of the window in whose middle it lies counting most. One Viterbi pass over the whole text then decodes all tags at once, so a span
-is never cut at a window's end. Found spans are trimmed to the form of their kind, and dropped where they can't have it.
+is never cut at a window's end. What is found, where and of which kind, is the decoded path alone; spans are only brought to whole words, without punctuation around
+them.
 
-The weights are trained by ``pii_train`` from labelled spans and kept beside this module.
+The weights are trained by ``pii_train`` on the synthetic spans of ``pii_text`` and kept beside this module.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exposit.llm.pii_rules import KINDS, REGEX, _NAMED, _NO_NAME, is_phone
+from exposit.llm.pii_text import KINDS
 
 TAGS = ("O", *(f"{x}-{k}" for k in KINDS for x in "BI"))
 WINDOW, STEP = 128, 96
+#: Logarithm of how much rarer names are in texts than in the training's documents: in 1 of 100 against 1 of 4.
+NAMES_RARER = 3.0
 #: Windows that are run through the network at once.
 BATCH = 512
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
@@ -57,8 +60,8 @@ def char_ids(text: str) -> np.ndarray:
 class Network:
     """Inference. Gate weights are folded: inputs are a table by character, and sigmoids are written as tanh."""
 
-    def __init__(self, weights: dict[str, np.ndarray]):
-        w = {k: np.asarray(v, np.float32) for k, v in weights.items()}
+    def __init__(self, weights: dict[str, np.ndarray], rarer: float | None = None):
+        w = {k: np.array(v, np.float32) for k, v in weights.items()}
         self.hidden = w["Uf"].shape[0]
         half = np.ones(4 * self.hidden, np.float32)
         half[: 3 * self.hidden] = 0.5
@@ -66,30 +69,38 @@ class Network:
         self.inner = {d: np.ascontiguousarray(w[f"U{d}"] * half) for d in "fb"}
         self.out = {d: w[f"O{d}"] for d in "fb"}
         self.bias, self.trans, self.start, self.end = w["o"], w["trans"], w["start"], w["end"]
+        # Training shows names far more often than texts do: the odds of a name's beginning are lowered by that.
+        begin = TAGS.index("B-name")
+        self.trans[:, begin] -= NAMES_RARER if rarer is None else rarer
+        self.start[begin] -= NAMES_RARER if rarer is None else rarer
         # An I tag follows only a B or I tag of its kind.
         for k in range(2, len(TAGS), 2):
             allowed = np.zeros(len(TAGS), bool)
             allowed[[k - 1, k]] = True
             self.trans[~allowed, k] = self.start[k] = -1e4
-        # A stretch of other tags can win over O only if its scores beat O's by more than entering and leaving it cost; inside it each step's
-        # transition gains at most ``inside``.
+        # What a stretch of other tags can gain over O at most: by its first tag, a B, from O or the text's start; by each further one; and where it ends.
         over = self.trans - self.trans[0, 0]
-        self.inside = float(over[1:, 1:].max())
-        self.around = float(max(over[0, 1:].max(), (self.start[1:] - self.start[0]).max()) + max(over[1:, 0].max(), (self.end[1:] - self.end[0]).max()))
+        self.first, self.opening = over[0], self.start - self.start[0]
+        self.more = over[1:].max(0)
+        self.leave, self.closing = float(over[1:, 0].max()), float((self.end[1:] - self.end[0]).max())
 
     def may_have(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """For each of the texts (T, B, tags) of these sizes: False only if all O is its best path, as no stretch's bound is above 0."""
-        other = scores[:, :, 1].copy()
-        for k in range(2, len(TAGS)):
-            np.maximum(other, scores[:, :, k], out=other)
+        begin, other = np.full((2, *scores.shape[:2]), -1e9, np.float32)
+        for k in range(1, len(TAGS)):
+            np.maximum(other, scores[:, :, k] + self.more[k], out=other)
+            if k % 2:
+                np.maximum(begin, scores[:, :, k] + self.first[k], out=begin)
+                np.maximum(begin[0], scores[0, :, k] + self.opening[k], out=begin[0])
+        begin -= scores[:, :, 0]
         other -= scores[:, :, 0]
-        other += self.inside
-        other[np.arange(len(other))[:, None] >= sizes] = -1e3
+        past = np.arange(len(other))[:, None] >= sizes
+        begin[past] = other[past] = -1e3
+        # The best stretch from a to b is begin[a] and the further tags' sum up to b.
         total = np.cumsum(other, 0, dtype=np.float64)
-        lowest = np.zeros_like(total)
-        np.minimum.accumulate(total[:-1], 0, out=lowest[1:])
-        np.minimum(lowest, 0, out=lowest)
-        return (total - lowest).max(0) - self.inside + self.around > -1e-3
+        best = total - np.minimum.accumulate(total - begin, 0)
+        at = np.arange(len(sizes))
+        return np.maximum(best.max(0) + self.leave, best[np.clip(sizes, 1, len(best)) - 1, at] + self.closing) > -1e-3
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
         """(T, B, tags) for a (T, B) array of characters."""
@@ -126,28 +137,22 @@ class Network:
             part = todo[k : k + BATCH]
             sizes = np.array([len(scores[i]) for i in part])
             steps = int(sizes.max())
-            e = np.zeros((steps, len(part), len(TAGS)), np.float32)
+            e = np.zeros((steps, len(TAGS), len(part)), np.float32)
             for b, i in enumerate(part):
-                e[: sizes[b], b] = scores[i]
-            back = np.empty((steps, len(part), len(TAGS)), np.int8)
-            v = self.start + e[0]
-            last = np.zeros_like(v)
-            last[sizes == 1] = v[sizes == 1]
+                e[: sizes[b], :, b] = scores[i]
+            # Best sums by tag and step; where a path came from is looked up along the path alone.
+            v = np.empty_like(e)
+            v[0] = self.start[:, None] + e[0]
             for t in range(1, steps):
-                x = v[:, :, None] + self.trans
-                best = x.argmax(1)
-                back[t] = best
-                v = np.take_along_axis(x, best[:, None, :], 1)[:, 0] + e[t]
-                done = sizes == t + 1
-                last[done] = v[done]
-            tag = (last + self.end).argmax(1)
+                np.add((v[t - 1][:, None, :] + self.trans[:, :, None]).max(0), e[t], out=v[t])
             at = np.arange(len(part))
+            tag = (v[sizes - 1, :, at].T + self.end[:, None]).argmax(0)
             path = np.zeros((steps, len(part)), np.int8)
             for t in range(steps - 1, -1, -1):
                 live = t < sizes
                 path[t] = np.where(live, tag, 0)
                 if t:
-                    tag = np.where(live, back[t, at, tag], tag)
+                    tag = np.where(live, (v[t - 1] + self.trans[:, tag]).argmax(0), tag)
             for b, i in enumerate(part):
                 paths[i] = path[: sizes[b], b]
         return paths
@@ -218,39 +223,37 @@ def raw_spans(path: np.ndarray) -> list[tuple[int, int, str]]:
     return out
 
 
-def trimmed(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
-    """The span in the form of its kind: the form's match that shares most with it, found near it; None where there is none."""
-    low, high = max(0, a - 48), min(len(text), b + 48)
-    best, most = None, 0
-    for m in (REGEX.get(kind) or _NAMED).finditer(text, low, high):
-        x, y = m.span()
-        if kind == "phone" and not is_phone(text, x, y):
-            continue
-        if kind == "name" and _NO_NAME & {w.strip(".,").lower() for w in m[0].split()}:
-            continue
-        shared = min(b, y) - max(a, x)
-        if shared > most:
-            best, most = (x, y), shared
+def _joined(c: str, d: str) -> bool:
+    """Whether two neighbouring characters belong to one word, in scripts that part words."""
+    return c.isalnum() and d.isalnum() and c < "\u3000" and d < "\u3000"
+
+
+def whole_words(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
+    """The span at whole words, without punctuation at its ends but the '+' or '(' of a telephone number; None where nothing of the kind can be left."""
+    while a > 0 and _joined(text[a - 1], text[a]):
+        a -= 1
+    while b < len(text) and _joined(text[b - 1], text[b]):
+        b += 1
+    while a < b and not text[a].isalnum():
+        a += 1
+    while a < b and not (text[b - 1].isdigit() if kind == "phone" else text[b - 1].isalnum()):
+        b -= 1
+    # A bracket that closes behind the number belongs to what is around it.
+    while kind == "phone" and a > 0 and (text[a - 1] == "+" or text[a - 1] == "(" and text.count("(", a, b) < text.count(")", a, b)):
+        a -= 1
+    item = text[a:b]
     if kind == "name":
-        # Words around a name fit its form as well: what the network marked decides, at whole words.
-        while a > 0 and text[a - 1].isalpha() and text[a].isalpha():
-            a -= 1
-        while b < len(text) and text[b].isalpha() and text[b - 1].isalpha():
-            b += 1
-        m = _NAMED.fullmatch(text, a, b) or _NAMED.search(text, a, b)
-        if m and not _NO_NAME & {w.strip(".,").lower() for w in m[0].split()}:
-            return m.span()
-        return None
-    return best if most * 2 >= b - a else None
+        return (a, b) if len(item.split()) > 1 else None
+    return (a, b) if item and (kind == "email" or any(c.isdigit() for c in item)) else None
 
 
 def find(net: Network, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-    """The trimmed, non-overlapping spans of every text."""
+    """The non-overlapping spans of every text."""
     out = []
     for text, path in zip(texts, tag(net, texts)):
         own: list[tuple[int, int, str]] = []
         for a, b, kind in raw_spans(path):
-            if (at := trimmed(text, a, b, kind)) and (not own or at[0] >= own[-1][1]):
+            if (at := whole_words(text, a, b, kind)) and (not own or at[0] >= own[-1][1]):
                 own.append((*at, kind))
         out.append(own)
     return out

@@ -1,64 +1,49 @@
 """Training of the tagger in ``pii`` by backpropagation through time and the CRF's forward-backward algorithm, in numpy.
 
-    python -m exposit.llm.pii_train COMMENTS.parquet KNOWN_NAMES.parquet [MINUTES [WORKERS [continue]]]
+    python -m exposit.llm.pii_train COMMENTS.parquet [MINUTES [WORKERS [continue]]]
 
-Labelled spans: a bounded sample of comments, in which the forms of ``pii_rules`` mark spans; names are replaced by
-other names, invented ones too, so that the tagger learns their surroundings and not a list. All comments with a marked span are
-taken up to ``MARKED``, and ``PLAIN`` without one, those with digits first. A tenth is held out.
+Every step draws new synthetic documents of ``pii_text``: items in carriers among look-alikes and the sentences of unlabelled comments. Of these a bounded
+sample is taken, at most ``SAMPLE`` by hash. Training goes in rounds: at first texts with an '@' or a long number are left out of the sample, later those
+in which what the weights at hand find is in doubt. What they are sure of stays marked, and most of these items are replaced by new ones, so that the
+carriers of unlabelled text are learnt as well.
 """
 
 from __future__ import annotations
 
 import random
+import re
 import sys
 import time
+from collections import Counter
+from zlib import crc32
 
 import numpy as np
 
 from exposit.llm.pii import CLASSES, PAD, TAGS, WEIGHTS, Network, char_ids, find
-from exposit.llm.pii_rules import FRAMES, KINDS, invented, renamed, spans
-
-MARKED, PLAIN = 8000, 9000
-HIDDEN, EMBED, LENGTH, BATCH = 20, 16, 104, 64
-
-
-def labelled(texts: list[str], given: list[str], family: list[str], seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """(text, spans), renamed, and some of them in other case."""
-    rng = random.Random(seed)
-    lists = frozenset(x.lower() for x in given), frozenset(x.lower() for x in family)
-    marked, plain = [], []
-    for t in sorted(set(texts), key=lambda t: (hash_of(t), t)):
-        if len(marked) >= MARKED and len(plain) >= PLAIN:
-            break
-        s = spans(t, *lists)
-        if s and len(marked) < MARKED:
-            marked.append((t, s))
-        elif not s and len(plain) < PLAIN and (any(c.isdigit() for c in t) or len(plain) < PLAIN // 2 or rng.random() < 0.3):
-            plain.append((t, []))
-    out = []
-    for t, s in marked:
-        t, s = renamed(t, s, rng, given, family)
-        out.append((t, s))
-        if any(k == "name" for *_, k in s):  # names are rarer than the other kinds
-            out += [renamed(t, s, rng, given, family) for _ in range(2)]
-        if rng.random() < 0.08 and len(t.upper()) == len(t):
-            out.append((t.upper(), s))
-        if rng.random() < 0.08 and len(t.lower()) == len(t):
-            out.append((t.lower(), s))
-    for t, _ in rng.sample(plain, min(len(plain), 1500)):  # frames with a place, a thing or a single name are no names
-        word = rng.choice((invented(rng, 2), rng.choice(given), "the shop", "the old " + invented(rng, 2), "everyone in " + invented(rng, 2)))
-        out.append((f"{rng.choice(FRAMES[:1] + FRAMES[1:2]).format(word)}{rng.choice(('. ', ' - ', chr(10)))}{t}", []))
-    for t, _ in rng.sample(plain, min(len(plain), 1500)):  # other case is no sign of a name
-        out.append((rng.choice((t.upper, t.title))(), []))
-    out += plain
-    rng.shuffle(out)
-    return out
+from exposit.llm.pii_text import KINDS, document
+
+SAMPLE = 30_000
+HIDDEN, EMBED, LENGTH, BATCH = 24, 16, 112, 64
+
+
+#: How much rarer names are in texts than in training, as a logarithm, for labels that must be sure.
+RARER = 5.0
 
 
-def hash_of(text: str) -> int:
-    import zlib
+def backgrounds(texts: list[str], weights: dict[str, np.ndarray] | None) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """(text, spans) of those of a bounded sample of unlabelled texts of which it is known what they hold.
 
-    return zlib.crc32(text.encode("utf-8", "replace"))
+    Without weights at hand these are texts without '@' and long numbers. With weights, they are the texts in which these find the same whether or not
+    names are expected to be rare; and those in which only names are in doubt all of whose words, or one of whose very common words, are used in lower case all over
+    the sample: these are none.
+    """
+    taken = sorted(set(texts), key=lambda t: (crc32(t.encode("utf-8", "replace")), t))[:SAMPLE]
+    if weights is None:
+        return [(t, []) for t in taken if "@" not in t and sum(c.isdigit() for c in t) < 7]
+    often = Counter(w for t in taken for w in set(re.findall(r"[^\W\d_]+", t)) if w == w.lower())
+    common = lambda item: (n := [often[w] for w in re.findall(r"[^\W\d_]+", item.lower())]) and (min(n) >= 10 or max(n) >= 0.005 * len(taken))
+    sure, loose = find(Network(weights, RARER), taken), find(Network(weights, 0.0), taken)
+    return [(t, a) for t, a, b in zip(taken, sure, loose) if all(x in a or x[2] == "name" and common(t[x[0] : x[1]]) for x in b) and all(x in b for x in a)]
 
 
 def encoded(items: list, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -179,20 +164,23 @@ def gradients(x: np.ndarray, y: np.ndarray, p: dict[str, np.ndarray]) -> tuple[f
     return loss, g
 
 
-_ITEMS: list = []
+_ITEMS: dict = {}
 
 
 def _shard(job: tuple[dict[str, np.ndarray], int]) -> tuple[float, dict[str, np.ndarray]]:
     p, seed = job
-    rng = np.random.default_rng(seed)
-    return gradients(*encoded([_ITEMS[i] for i in rng.integers(0, len(_ITEMS), BATCH)], rng), p)
+    rng, draw = np.random.default_rng(seed), random.Random(seed)
+    return gradients(*encoded([document(_ITEMS["texts"], draw, _ITEMS["part"]) for _ in range(BATCH)], rng), p)
+
 
+def train(texts: list, seconds: float, seed: int = 1, rate: float = 8e-3, steps: int | None = None, workers: int = 1, part: int | None = None, start: dict[str, np.ndarray] | None = None, log=lambda *_: None) -> dict[str, np.ndarray]:  # noqa: ANN001
+    """Adam with a falling rate, for so many seconds or steps; each step averages the gradients of ``workers`` batches.
 
-def train(items: list, seconds: float, seed: int = 1, rate: float = 8e-3, steps: int | None = None, workers: int = 1, start: dict[str, np.ndarray] | None = None, log=lambda *_: None) -> dict[str, np.ndarray]:  # noqa: ANN001
-    """Adam with a falling rate, for so many seconds or steps; each step averages the gradients of ``workers`` batches. ``start`` goes on from weights."""
+    ``texts`` are backgrounds with their spans; carriers and names of ``part`` are left out; ``start`` goes on from weights.
+    """
     import multiprocessing
 
-    _ITEMS[:] = items
+    _ITEMS.update(texts=texts, part=part)
     pool = multiprocessing.get_context("fork").Pool(workers) if workers > 1 else None
     rng = np.random.default_rng(seed)
     p = start or initial(seed)
@@ -230,17 +218,22 @@ def quality(p: dict[str, np.ndarray], items: list) -> dict[str, tuple[int, int,
     return out
 
 
+#: The part of carriers and names that the kept weights haven't seen.
+HELD = 0
+
+
 def main(args: list[str]) -> None:
     import pyarrow.parquet as pq
 
     texts = [t for t in pq.read_table(args[0], columns=["text"])["text"].to_pylist() if t]
-    names = pq.read_table(args[1]).to_pylist()
-    by = {k: [r["name"] for r in names if r["name_kind"] == k] for k in ("given", "family")}
-    items = labelled(texts, by["given"], by["family"])
-    held = len(items) // 10
     start = {k: v.astype(np.float32) for k, v in np.load(WEIGHTS).items()} if "continue" in args else None
-    p = train(items[held:], 60 * float(args[2] if len(args) > 2 else 6), seed=2 if start else 1, rate=3e-3 if start else 8e-3, start=start, workers=int(args[3]) if len(args) > 3 else 1, log=lambda s: print(s, flush=True))
-    print(quality(p, items[:held]))
+    texts = backgrounds(texts, start)
+    if start:
+        start |= {k: np.maximum(start[k], -8.0) for k in ("trans", "start")}
+    train_on, held = texts[len(texts) // 20 :], [(t, m) for t, m in texts[: len(texts) // 20] if not m]
+    p = train(train_on, 60 * float(args[1] if len(args) > 1 else 6), part=HELD, workers=int(args[2]) if len(args) > 2 else 1, rate=4e-3 if start else 1e-2, seed=2 if start else 1, start=start, log=lambda s: print(s, flush=True))
+    rng = random.Random(3)
+    print("held-out carriers and names", quality(p, [document(held, rng, HELD, inside=True, plain=0.3) for _ in range(3000)]))
     np.savez_compressed(WEIGHTS, **{k: v.astype(np.float16) for k, v in p.items()})
 
 

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import random
+import re
+
 import numpy as np
 import pytest
 
-from exposit.llm import pii, pii_rules, pii_train
+from exposit.llm import pii, pii_text, pii_train
 
-TEXT = "My name is Petra Yamadori and I worked on it. Call (415) 555-0155 after six\nMail me at warm_piston@example.org please. I live at 1504 Millrace Ln and the noise is real. My passport is 939-00-4167 and they still said no"
-ITEMS = {("name", "Petra Yamadori"), ("phone", "(415) 555-0155"), ("email", "warm_piston@example.org"), ("address", "1504 Millrace Ln"), ("idnum", "939-00-4167")}
+TEXT = "My name is Petra Nakamura and I built it. Call (415) 555-0155 after six\nMail me at warm_piston@example.org please. I live at 1504 Millrace Lane and it is loud. My ssn is 939-00-4167 and they lost it"
+ITEMS = {("name", "Petra Nakamura"), ("phone", "(415) 555-0155"), ("email", "warm_piston@example.org"), ("address", "1504 Millrace Lane"), ("idnum", "939-00-4167")}
 
 
 def test_finds_every_kind(spark):
@@ -16,7 +19,7 @@ def test_finds_every_kind(spark):
     assert all(TEXT[r["begin"] : r["end"]] == r["item"] for r in rows)
     clean = {r["id"]: r for r in pii.redacted(df, "id", "text").collect()}
     assert clean["b"]["text"] is None and clean["c"]["text"] == "" and clean["d"]["text"] == "   \n" and clean["e"]["n_items"] == 0
-    assert clean["a"]["text"] == "My name is [NAME] and I worked on it. Call [PHONE] after six\nMail me at [EMAIL] please. I live at [ADDRESS] and the noise is real. My passport is [IDNUM] and they still said no"
+    assert clean["a"]["text"] == "My name is [NAME] and I built it. Call [PHONE] after six\nMail me at [EMAIL] please. I live at [ADDRESS] and it is loud. My ssn is [IDNUM] and they lost it"
 
 
 def test_empty_table(spark):
@@ -50,13 +53,43 @@ def test_gradients_are_those_of_the_loss():
 
 
 def test_a_short_training_lowers_the_loss():
-    items = [(f"mail me at user{i}@example.org now", [(11, 28 + len(str(i)) - 1, "email")]) for i in range(40)]
-    rng = np.random.default_rng(1)
+    rng, draw = np.random.default_rng(1), random.Random(1)
+    items = [pii_text.document([], draw) for _ in range(40)]
     before = pii_train.gradients(*pii_train.encoded(items, rng), pii_train.initial())[0]
-    after = pii_train.gradients(*pii_train.encoded(items, rng), pii_train.train(items, 0, steps=25))[0]
+    after = pii_train.gradients(*pii_train.encoded(items, rng), pii_train.train([], 0, steps=25))[0]
     assert after < 0.7 * before
 
 
-@pytest.mark.parametrize("text, spans", [("x (a_b (at) mail (dot) example (dot) com)", ["a_b (at) mail (dot) example (dot) com"]), ("works on kit@1.0.3 but not on v2.22", []), ("text me on 030/23125 221 ok", ["030/23125 221"]), ("ping 192.0.2.194", []), ("Our club meets at Calle del Olmo, 178 every week", ["Calle del Olmo, 178"])])
-def test_forms(text, spans):
-    assert [text[a:b] for a, b, _ in pii_rules.spans(text)] == spans
+def counted(found, want):
+    """(right, found, wanted) over all kinds."""
+    right = sum(len(set(a) & set(b)) for a, b in zip(found, want))
+    return right, sum(map(len, found)), sum(map(len, want))
+
+
+#: Plain forms, as a rule would have them: what a tagger must do better than.
+RULES = {
+    "email": re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), "phone": re.compile(r"\+?\(?\d[\d ()./-]{6,}\d"), "idnum": re.compile(r"\b(?:\d{3}-\d{2}-\d{4}|[A-Z]{1,2}\d{6,9})\b"),
+    "address": re.compile(r"\b\d{1,5} (?:[A-Z]\w+ ){1,3}(?:Street|St|Road|Rd|Lane|Avenue|Ave|Drive|Court|Way|Place|Square)\b"), "name": re.compile(r"\b[A-Z][a-z]+ (?:[A-Z]\. )?[A-Z][a-z]+\b"),
+}
+
+
+def test_carriers_and_names_that_training_never_saw():
+    # The kept weights left out these carriers and names; a fifth of each. Items are as frequent here as in training.
+    draw = random.Random(12)
+    documents = [pii_text.document([], draw, pii_train.HELD, inside=True) for _ in range(2500)]
+    net = pii.Network(dict(np.load(pii.WEIGHTS)), rarer=0.0)
+    found, want = pii.find(net, [t for t, _ in documents]), [s for _, s in documents]
+    right, got, all_of = counted(found, want)
+    assert right >= 0.9 * got and right >= 0.9 * all_of
+    for kind in pii_text.KINDS:
+        r, g, w = counted([[x for x in s if x[2] == kind] for s in found], [[x for x in s if x[2] == kind] for s in want])
+        assert r >= (0.85 if kind == "name" else 0.9) * g and r >= (0.75 if kind == "name" else 0.9) * w, kind
+    rules = [[(*m.span(), k) for k, form in RULES.items() for m in form.finditer(t)] for t, _ in documents]
+    r, g, w = counted(rules, want)
+    assert right / got > r / g + 0.2 and right / all_of > r / w + 0.2
+
+
+@pytest.mark.parametrize("text, span, kind, want", [("call (415) 555-0155 now", (5, 18), "phone", "(415) 555-0155"), ("((683) 555-0177)", (2, 14), "phone", "(683) 555-0177"), ("mail a_b@x.org.", (6, 15), "email", "a_b@x.org"), ("by Ana Lund, yes", (3, 12), "name", "Ana Lund"), ("by Ana yes", (3, 6), "name", None), ("at home.", (3, 8), "address", None), ("電話+81 3 5550 0101です", (3, 16), "phone", "+81 3 5550 0101")])
+def test_spans_are_brought_to_whole_words(text, span, kind, want):
+    at = pii.whole_words(text, *span, kind)
+    assert (text[slice(*at)] if at else None) == want
