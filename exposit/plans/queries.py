@@ -99,7 +99,7 @@ def _length(df: DataFrame) -> DataFrame:
 
 def length_features(s: SparkSession, d: str) -> DataFrame:
     f = _length(corpus.base(s, d))
-    return f.select("comment_id", *[r6(F.col(c)).alias(c) for c in ("log_chars", "log_words", "has_question")])
+    return f.select("comment_id", *[r6(F.col(c)).alias(c) for c in LENGTH])
 
 
 def caps_run(s: SparkSession, d: str) -> DataFrame:
@@ -110,17 +110,21 @@ def caps_run(s: SparkSession, d: str) -> DataFrame:
 SALT = "fixed-test-salt:"
 
 
+def _stamp(column: str):  # noqa: ANN202
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
+
+
 def export_comments(s: SparkSession, d: str) -> DataFrame:
-    c = corpus.comments(s, d).select("comment_id", "video_id", "author_channel_id", "like_count", "reply_count", "published_at")
+    c = corpus.comments(s, d).select("comment_id", "video_id", "author_channel_id", "text", "like_count", "reply_count", "published_at", "fetched_at")
     v = corpus.videos(s, d).where("status = 'done'").select("video_id", F.col("published_at").alias("video_at"))
     both = c.join(v, "video_id").join(_ranks(s, d), ["video_id", "comment_id"], "left")
-    return both.select("comment_id", "video_id", X.author_hash(F.col("author_channel_id"), SALT).alias("author_hash"), "like_count", "reply_count", F.round(X.hours_between(F.col("published_at"), F.col("video_at")), 4).alias("age_hours"), F.col("rank").alias("relevance_rank"))
+    return both.select("comment_id", "video_id", X.author_hash(F.col("author_channel_id"), SALT).alias("author_hash"), "text", "like_count", "reply_count", _stamp("published_at"), _stamp("fetched_at"), F.round(X.hours_between(F.col("published_at"), F.col("video_at")), 4).alias("age_hours"), F.col("rank").alias("relevance_rank"))
 
 
 def export_videos(s: SparkSession, d: str) -> DataFrame:
     n = corpus.comments(s, d).groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
     v = corpus.videos(s, d).where("status = 'done'").join(n, "video_id", "left")
-    return v.select("video_id", "channel_handle", "category_id", X.duration_seconds(F.col("duration")).alias("duration_seconds"), X.is_short(F.col("duration")).alias("is_short"), "view_count", "comment_count", F.coalesce("n", F.lit(0)).alias("collected"))
+    return v.select("video_id", "channel_id", "channel_handle", "title", _stamp("published_at"), "like_count", "comments_stored", _stamp("stats_fetched_at"), "category_id", "duration", X.duration_seconds(F.col("duration")).alias("duration_seconds"), X.is_short(F.col("duration")).alias("is_short"), "view_count", "comment_count", F.coalesce("n", F.lit(0)).alias("collected"))
 
 
 def collected_counts(s: SparkSession, d: str) -> DataFrame:
@@ -335,14 +339,14 @@ def pairwise_cosine(s: SparkSession, d: str) -> DataFrame:
 
 
 def vocabulary_topn(s: SparkSession, d: str) -> DataFrame:
-    """The 500 most frequent terms of ASCII comments, which SQL can repeat; ``vocabulary_all`` is over all comments."""
-    c = corpus.comments(s, d).where(~X.non_ascii(F.col("text"))).select("comment_id", "text")
+    """The 500 most frequent words and pairs of all comments, as written; ``vocabulary_all`` has all terms, without accents."""
+    c = corpus.comments(s, d).select("comment_id", "text")
     return text.vocabulary(text.term_counts(c, "comment_id", F.col("text"), 2), 5, 500)
 
 
 def tfidf_weights(s: SparkSession, d: str) -> DataFrame:
-    """Weights of the 500 most frequent words in ASCII comments, which SQL can repeat; ``tfidf_all`` is over all comments."""
-    c = corpus.comments(s, d).where(~X.non_ascii(F.col("text"))).select("comment_id", "text")
+    """Weights of the 500 most frequent words in all comments, as written; ``tfidf_all`` has all terms, without accents."""
+    c = corpus.comments(s, d).select("comment_id", "text")
     counts = text.term_counts(c, "comment_id", F.col("text"))
     return text.tfidf(counts, text.vocabulary(counts, 5, 500), "comment_id", c.count()).select("comment_id", "term", r6(F.col("weight")).alias("weight"))
 

@@ -37,8 +37,14 @@ def _boot(values: str, n_boot: int, seed: int = 0) -> str:
 
 BOOT_OUT = "SELECT (SELECT round(sum(s) / sum(c), 6) FROM sums) AS mean, round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.975), 6) AS hi, round(avg((x > 0)::int::double), 6) AS p_gt_0 FROM bm"
 ASCII = r"NOT regexp_matches(text, '[^\x00-\x7F]')"
-TERMS1 = f"t AS (SELECT comment_id, term, count(*) AS tf FROM (SELECT comment_id, unnest(regexp_extract_all(lower(text), '\\b\\w\\w+\\b')) AS term FROM cc WHERE {ASCII}) GROUP BY ALL)"
-LIST2 = f"w AS (SELECT comment_id, regexp_extract_all(lower(text), '\\b\\w\\w+\\b') AS l FROM cc WHERE {ASCII}), x AS (SELECT comment_id, unnest(l) AS term FROM w UNION ALL SELECT comment_id, unnest([l[i] || ' ' || l[i + 1] for i in range(1, len(l))]) AS term FROM w), t AS (SELECT comment_id, term, count(*) AS tf FROM x GROUP BY ALL)"
+WORD = r"[\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}]{2,}"
+TERMS1 = f"t AS (SELECT comment_id, term, count(*) AS tf FROM (SELECT comment_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM cc) GROUP BY ALL)"
+LIST2 = f"w AS (SELECT comment_id, regexp_extract_all(lower(text), '{WORD}') AS l FROM cc), x AS (SELECT comment_id, unnest(l) AS term FROM w UNION ALL SELECT comment_id, unnest([l[i] || ' ' || l[i + 1] for i in range(1, len(l))]) AS term FROM w), t AS (SELECT comment_id, term, count(*) AS tf FROM x GROUP BY ALL)"
+WHITE = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+CAPS = f"len(list_filter(regexp_split_to_array(text, '{WHITE}'), lambda w: length(w) > 3 AND regexp_matches(w, '\\p{{Lu}}') AND NOT regexp_matches(w, '[\\p{{Ll}}\\p{{Lt}}]'))) > 0"
+#: Pacific days by the rule of daylight saving time since 2007: from 10:00 UTC on March's second Sunday to 9:00 UTC on November's first.
+SUNDAY = "make_date(year({at})::bigint, {month}, {day}) + CAST((7 - dayofweek(make_date(year({at})::bigint, {month}, {day}))) % 7 AS int)"
+PACIFIC = "strftime({at} - to_hours(CASE WHEN {at} >= CAST(" + SUNDAY.replace("{month}", "3").replace("{day}", "8") + " AS timestamp) + INTERVAL 10 HOUR AND {at} < CAST(" + SUNDAY.replace("{month}", "11").replace("{day}", "1") + " AS timestamp) + INTERVAL 9 HOUR THEN 7 ELSE 8 END), '%Y-%m-%d')"
 EXPOSURE = f"log_age AS (SELECT *, ln(1 + greatest(0, coalesce(age_h, 0))) AS log_age_h, ln(1 + greatest(0, coalesce(view_count, 0))) AS log_views, ln(1 + greatest(0, coalesce(comment_count, 0))) AS log_video_comments, CAST({SHORT} AS int)::double AS is_short FROM f)"
 NEAR = "e AS (SELECT vec_id, CAST(embedding AS double[64]) AS v, label::double AS likes FROM embeddings), nn AS (SELECT a.vec_id AS q, b.likes, row_number() OVER (PARTITION BY a.vec_id ORDER BY array_inner_product(a.v, b.v) DESC, b.vec_id) AS k FROM e a JOIN e b ON a.vec_id <> b.vec_id)"
 REASON = """reasons AS (SELECT video_id, channel_id, CASE WHEN comment_count IS NULL THEN 'no_comment_count' WHEN comment_count < 5 THEN 'too_few' WHEN comment_count > 5000 THEN 'too_many' END AS r FROM cv),
@@ -61,9 +67,11 @@ SQL = {
     "like_rank_target": f"{BASE_SQL} SELECT comment_id, video_id, round(y, 6) AS y FROM f",
     "timeline_position": f"{BASE_SQL} SELECT comment_id, video_id, round(age_pct, 6) AS age_pct FROM f",
     "exposure_features": f"{BASE_SQL}, {EXPOSURE} SELECT comment_id, round(age_pct, 6) AS age_pct, round(log_age_h, 6) AS log_age_h, round(log_views, 6) AS log_views, round(log_video_comments, 6) AS log_video_comments, round(is_short, 6) AS is_short FROM log_age",
-    "length_features": rf"{BASE_SQL} SELECT comment_id, round(ln(1 + length(text)), 6) AS log_chars, round(ln(1 + len(list_filter(regexp_split_to_array(text, '[\s\x{{b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+'), lambda w: w <> ''))), 6) AS log_words, round((contains(text, '?'))::int::double, 6) AS has_question FROM f",
-    "export_comments": f"{CV}, {RANKS} SELECT c.comment_id, c.video_id, CASE WHEN c.author_channel_id <> '' THEN substr(sha256('fixed-test-salt:' || c.author_channel_id), 1, 20) END AS author_hash, c.like_count, c.reply_count, round((epoch_us(c.published_at) - epoch_us(v.published_at)) / 3.6e9, 4) AS age_hours, rr.rank AS relevance_rank FROM cc c JOIN cv v USING (video_id) LEFT JOIN rr ON rr.video_id = c.video_id AND rr.comment_id = c.comment_id WHERE v.status = 'done'",
-    "export_videos": f"{CV} SELECT v.video_id, channel_handle, category_id, {SECONDS} AS duration_seconds, {SHORT} AS is_short, view_count, comment_count, (SELECT count(*) FROM cc WHERE cc.video_id = v.video_id) AS collected FROM cv v WHERE status = 'done'",
+    "length_features": rf"{BASE_SQL} SELECT comment_id, round(ln(1 + length(text)), 6) AS log_chars, round(ln(1 + len(list_filter(regexp_split_to_array(text, '[\s\x{{b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+'), lambda w: w <> ''))), 6) AS log_words, round((contains(text, '?'))::int::double, 6) AS has_question, round(({CAPS})::int::double, 6) AS has_caps_run FROM f",
+    "caps_run": f"{C} SELECT {CAPS} AS has_caps_run, count(*) AS n, round(avg(like_count), 6) AS mean_likes FROM cc GROUP BY 1",
+    "quota_days": f"SELECT {PACIFIC.format(at='fetched_at')} AS day, CAST(ceil(count(*) / 100.0) AS bigint) AS units FROM comments GROUP BY 1",
+    "export_comments": f"{CV}, {RANKS} SELECT c.comment_id, c.video_id, CASE WHEN c.author_channel_id <> '' THEN substr(sha256('fixed-test-salt:' || c.author_channel_id), 1, 20) END AS author_hash, c.text, c.like_count, c.reply_count, strftime(c.published_at, '%Y-%m-%d %H:%M:%S') AS published_at, strftime(c.fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at, round((epoch_us(c.published_at) - epoch_us(v.published_at)) / 3.6e9, 4) AS age_hours, rr.rank AS relevance_rank FROM cc c JOIN cv v USING (video_id) LEFT JOIN rr ON rr.video_id = c.video_id AND rr.comment_id = c.comment_id WHERE v.status = 'done'",
+    "export_videos": f"{CV} SELECT v.video_id, channel_id, channel_handle, title, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at, like_count, comments_stored, strftime(stats_fetched_at, '%Y-%m-%d %H:%M:%S') AS stats_fetched_at, category_id, duration, {SECONDS} AS duration_seconds, {SHORT} AS is_short, view_count, comment_count, (SELECT count(*) FROM cc WHERE cc.video_id = v.video_id) AS collected FROM cv v WHERE status = 'done'",
     "collected_counts": f"{CV} SELECT v.video_id, (SELECT count(*) FROM cc WHERE cc.video_id = v.video_id) AS collected FROM cv v",
     "video_spearman": f"{PRED} SELECT video_id, n, round(rho, 6) AS rho FROM ({_rho('early')})",
     "video_auc": f"{PRED} SELECT video_id, p, q, round(auc, 6) AS auc FROM ({_auc('early')})",
@@ -97,7 +105,7 @@ SQL = {
     "estimator_skill": f"WITH {NEAR}, est AS (SELECT q, round(avg(likes), 9) AS x FROM nn WHERE k <= 5 GROUP BY 1), j AS (SELECT e.likes, est.x, rank() OVER (ORDER BY e.likes) + (count(*) OVER (PARTITION BY e.likes) - 1) / 2.0 AS ra, rank() OVER (ORDER BY est.x) + (count(*) OVER (PARTITION BY est.x) - 1) / 2.0 AS rb FROM est JOIN e ON e.vec_id = est.q) SELECT 'all' AS pool, count(*) AS n, round(corr(ra, rb), 6) AS rho FROM j",
     "pairwise_cosine": "WITH e AS (SELECT label, vec_id, CAST(embedding AS double[64]) AS v FROM embeddings) SELECT a.label, (SELECT count(*) FROM e c WHERE c.label = a.label) AS n, round(avg(array_inner_product(a.v, b.v)), 6) AS mean_cosine FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.label",
     "vocabulary_topn": f"{C}, {LIST2} SELECT term, count(*) AS df, CAST(sum(tf) AS bigint) AS cf FROM t GROUP BY term HAVING count(*) >= 5 ORDER BY cf DESC, term LIMIT 500",
-    "tfidf_weights": f"{C}, {TERMS1}, v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM t GROUP BY term HAVING count(*) >= 5 ORDER BY cf DESC, term LIMIT 500), r AS (SELECT comment_id, term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM cc WHERE {ASCII})) / (1.0 + df)) + 1) AS w FROM t JOIN v USING (term)) SELECT comment_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY comment_id)), 6) AS weight FROM r",
+    "tfidf_weights": f"{C}, {TERMS1}, v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM t GROUP BY term HAVING count(*) >= 5 ORDER BY cf DESC, term LIMIT 500), r AS (SELECT comment_id, term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM cc)) / (1.0 + df)) + 1) AS w FROM t JOIN v USING (term)) SELECT comment_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY comment_id)), 6) AS weight FROM r",
     "scaled_features": f"{BASE_SQL}, {EXPOSURE}, l AS (SELECT 'age_pct' AS feature, age_pct AS v FROM log_age UNION ALL SELECT 'log_age_h', log_age_h FROM log_age UNION ALL SELECT 'log_views', log_views FROM log_age UNION ALL SELECT 'log_video_comments', log_video_comments FROM log_age UNION ALL SELECT 'is_short', is_short FROM log_age) SELECT feature, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(coalesce((max(v) - avg(v)) / nullif(stddev_pop(v), 0), 0), 6) AS max_scaled FROM l GROUP BY 1",
 }
 SQL["bootstrap_ratio_ci"] = SQL["bootstrap_ratio_ci"].replace("cv AS (SELECT round(auc", "cv_ AS (SELECT round(auc").replace("FROM cv)", "FROM cv_)").replace(" JOIN cv USING (k)", " JOIN cv_ USING (k)").replace(", cv j)", ", cv_ j)")

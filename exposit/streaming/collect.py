@@ -17,25 +17,34 @@ from exposit.sources.pages import parse_threads
 def collect(pages: DataFrame, folder: str, budget: int | None = None) -> None:
     """Takes all available ``pages`` (video_id, page json, fetched_at) into ``folder``/log and ``folder``/ledger.
 
-    A page costs one unit. Beyond ``budget`` units a batch's further pages go to ``folder``/paused untouched, by order of video and page.
+    A page costs one unit. Beyond ``budget`` units a batch's further pages go to ``folder``/paused untouched, by order of video and page; the next call takes them
+    up first, with its own budget.
     """
     spark = pages.sparkSession
 
-    def take(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+    before = _units(spark, folder)
+    waiting = _paused(spark, folder)
+
+    def take(batch: DataFrame, name: str) -> None:
+        batch = batch.persist()
         units = batch.count()
-        if budget is not None:
-            used = _used(spark, folder, batch_id)
-            left = max(0, budget - used)
-            if units > left:
-                first = batch.orderBy("video_id", "page").limit(left)
-                batch.exceptAll(first).write.mode("overwrite").parquet(f"{folder}/paused/batch={batch_id}")
-                batch, units = first, left
-        spark.createDataFrame([(batch_id, units)], "batch_id bigint, units_used bigint").coalesce(1).write.mode("overwrite").parquet(f"{folder}/ledger/batch={batch_id}")
-        parsed = _parsed(batch)
-        parsed.write.mode("overwrite").parquet(f"{folder}/log/batch={batch_id}")
-
-    query = pages.writeStream.foreachBatch(take).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        if budget is not None and units > (left := max(0, budget - (_units(spark, folder, but=name) - before))):
+            # All pages up to the last one that the budget holds; a page that occurs twice is one page.
+            place = F.struct("video_id", "page")
+            last = batch.select(place.alias("p")).orderBy("p").limit(left).agg(F.max("p")).collect()[0][0]
+            within = place <= F.struct(F.lit(last[0]), F.lit(last[1])) if last else F.lit(False)
+            batch.where(~within).write.mode("overwrite").parquet(f"{folder}/paused/batch={name}")
+            taken, units = batch.where(within), left
+        else:
+            taken = batch
+        spark.createDataFrame([(units,)], "units_used bigint").coalesce(1).write.mode("overwrite").parquet(f"{folder}/ledger/batch={name}")
+        _parsed(taken).write.mode("overwrite").parquet(f"{folder}/log/batch={name}")
+        batch.unpersist()
+
+    for name, path in waiting:
+        take(spark.read.parquet(path), f"{name}r")
+        _remove(spark, path)
+    query = pages.writeStream.foreachBatch(lambda df, k: take(df, str(k))).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -46,14 +55,27 @@ def _parsed(batch: DataFrame) -> DataFrame:
     return exploded.select("_of.video_id", "_of.fetched_at", *[c for c in exploded.columns if c != "_of"])
 
 
-def _used(spark, folder: str, before: int) -> int:  # noqa: ANN001
+def _units(spark, folder: str, but: str | None = None) -> int:  # noqa: ANN001
+    """Units spent so far, without those of a batch that runs again."""
     from pyspark.errors import AnalysisException
 
     try:
-        ledger = spark.read.parquet(f"{folder}/ledger")
+        ledger = spark.read.option("basePath", f"{folder}/ledger").schema("units_used bigint, batch string").parquet(f"{folder}/ledger")
+        return ledger.where(F.col("batch") != (but or "")).agg(F.coalesce(F.sum("units_used"), F.lit(0))).collect()[0][0]
     except AnalysisException:
         return 0
-    return ledger.where(F.col("batch_id") < before).agg(F.coalesce(F.sum("units_used"), F.lit(0))).collect()[0][0]
+
+
+def _paused(spark, folder: str) -> list[tuple[str, str]]:  # noqa: ANN001
+    """(batch name, folder) of the pages that wait for budget."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/paused")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted((x.getPath().getName().removeprefix("batch="), x.getPath().toString()) for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def _remove(spark, path: str) -> None:  # noqa: ANN001
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def state(folder: str, spark) -> DataFrame:  # noqa: ANN001

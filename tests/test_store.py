@@ -103,6 +103,10 @@ def test_stream_with_budget(spark, tmp_path):
     collect.collect(read(), f"{tmp_path}/some", budget=4)
     assert collect.state(f"{tmp_path}/some", spark).count() == 4 and spark.read.parquet(f"{tmp_path}/some/paused").count() == 2
     assert spark.read.parquet(f"{tmp_path}/some/ledger").agg(F.sum("units_used")).collect()[0][0] == 4
+    collect.collect(read(), f"{tmp_path}/some", budget=1)
+    assert collect.state(f"{tmp_path}/some", spark).count() == 5 and spark.read.parquet(f"{tmp_path}/some/paused").count() == 1
+    collect.collect(read(), f"{tmp_path}/some")
+    assert collect.state(f"{tmp_path}/some", spark).count() == 6 and not collect._paused(spark, f"{tmp_path}/some")
 
 
 def test_population(tmp_path):
