@@ -138,6 +138,17 @@ def test_release(spark, tmp_path):
     assert '"rank":null' in gzip.decompress(raw).decode() and "é" in gzip.decompress(raw).decode()
 
 
+def test_release_is_in_order_with_its_manifest(spark, tmp_path):
+    import gzip
+
+    c = spark.createDataFrame([("c2", "v2", "t1"), ("c3", "v1", "t2"), ("c1", "v1", "t1")], "comment_id string, video_id string, published_at string").repartition(3)
+    v = spark.createDataFrame([("v2",), ("v1",)], "video_id string")
+    m = export.write_release(c, v, f"file://{tmp_path}/r")
+    rows = [json.loads(x) for f in m["comments"]["files"] for x in gzip.decompress((tmp_path / "r" / "comments" / f["name"]).read_bytes()).decode().splitlines()]
+    assert [r["comment_id"] for r in rows] == ["c1", "c3", "c2"] and m["comments"]["rows"] == 3 and m["videos"]["rows"] == 2
+    assert json.loads(spark.read.text(f"file://{tmp_path}/r/manifest", wholetext=True).collect()[0][0]) == m
+
+
 def test_generation_stub(spark):
     ex = spark.createDataFrame([("c1", "line\none"), ("c2", "two")], "comment_id string, text string")
     v = spark.createDataFrame([("v1", "A title"), ("v2", None)], "video_id string, title string")
