@@ -78,29 +78,34 @@ class Network:
             allowed = np.zeros(len(TAGS), bool)
             allowed[[k - 1, k]] = True
             self.trans[~allowed, k] = self.start[k] = -1e4
-        # What a stretch of other tags can gain over O at most: by its first tag, a B, from O or the text's start; by each further one; and where it ends.
+        # What a stretch of one kind, a B and its Is, can gain over O at most: where it begins, by each I, and where it ends. A B that follows another stretch
+        # without an O counts as from O; what that differs by is put to the end of the stretch before it.
         over = self.trans - self.trans[0, 0]
-        self.first, self.opening = over[0], self.start - self.start[0]
-        self.more = over[1:].max(0)
-        self.leave, self.closing = float(over[1:, 0].max()), float((self.end[1:] - self.end[0]).max())
+        starts = over[:, 1::2]
+        out = np.maximum(over[:, 0], (starts - starts[0]).max(1))
+        final = self.end - self.end[0]
+        pair = lambda x, k: float(max(x[k], x[k + 1]))
+        # Only the first I follows the B.
+        self.bounds = [(k, float(over[0, k]), float(self.start[k] - self.start[0]), float(over[k + 1, k + 1]), pair(out, k), pair(final, k), max(0.0, float(over[k, k + 1] - over[k + 1, k + 1]))) for k in range(1, len(TAGS), 2)]
 
     def may_have(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """For each of the texts (T, B, tags) of these sizes: False only if all O is its best path, as no stretch's bound is above 0."""
-        begin, other = np.full((2, *scores.shape[:2]), -1e9, np.float32)
-        for k in range(1, len(TAGS)):
-            np.maximum(other, scores[:, :, k] + self.more[k], out=other)
-            if k % 2:
-                np.maximum(begin, scores[:, :, k] + self.first[k], out=begin)
-                np.maximum(begin[0], scores[0, :, k] + self.opening[k], out=begin[0])
-        begin -= scores[:, :, 0]
-        other -= scores[:, :, 0]
-        past = np.arange(len(other))[:, None] >= sizes
-        begin[past] = other[past] = -1e3
-        # The best stretch from a to b is begin[a] and the further tags' sum up to b.
-        total = np.cumsum(other, 0, dtype=np.float64)
-        best = total - np.minimum.accumulate(total - begin, 0)
-        at = np.arange(len(sizes))
-        return np.maximum(best.max(0) + self.leave, best[np.clip(sizes, 1, len(best)) - 1, at] + self.closing) > -1e-3
+        """For each of the texts (T, B, tags) of these sizes: False only if all O is its best path, as no stretch of any kind has a bound above 0."""
+        steps, many = scores.shape[:2]
+        at, last = np.arange(many), np.clip(sizes, 1, steps) - 1
+        beyond = np.where(np.arange(steps)[:, None] > last, 1e9, 0.0)
+        by_tag = np.ascontiguousarray(scores.transpose(2, 0, 1))
+        some = np.zeros(many, bool)
+        for k, enter, opening, more, leave, closing, second in self.bounds:
+            begin = by_tag[k] - by_tag[0]
+            begin[0] += max(0.0, opening - enter)
+            # The best stretch from a to b is begin[a] and the sum of the further tags up to b.
+            step = by_tag[k + 1] - by_tag[0]
+            step += more
+            best = np.cumsum(step, 0, dtype=np.float64)
+            best -= np.minimum.accumulate(best - begin, 0)
+            best -= beyond
+            some |= np.maximum(best.max(0) + leave, best[last, at] + closing) + enter + second > -1e-3
+        return some
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
         """(T, B, tags) for a (T, B) array of characters."""
