@@ -73,7 +73,8 @@ def word_set(text: str, hashes: _Hashes) -> np.ndarray:
 
 def word_sets(df: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     """(key, digest binary, id bigint, n int, words array<bigint>) of texts with ``min_words`` words or more."""
-    least = 2 * min_words - 1
+    # Lower case can split a text between any two characters (capital dotted I gains a mark), so n characters may be n words.
+    least = min_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -321,6 +322,8 @@ def _large_trees(points: DataFrame, threshold: float) -> DataFrame:
     spark = points.sparkSession
     place = (F.col("size").bitwiseAND(F.lit(0xFFFFFFFF)) * (1 << 16) + F.pmod(F.xxhash64("id"), F.lit(1 << 16))).alias("place")
     bounds = points.select("key", place).groupBy("key").agg(F.percentile_approx("place", F.array(*[F.lit(k / BANDS) for k in range(1, BANDS)]), 2000).alias("bounds"))
+    # Percentiles depend on the order in which parts are merged: if a lost task were run again with others, its points could miss the blocks already written.
+    bounds = cut(bounds)
     band = F.size(F.filter("bounds", lambda x: x < F.col("place")))
     # Bands of the largest trees are still too large and are cut again by hash.
     more = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.lit(1), F.ceil(F.col("much") / (BLOCK * BANDS)))).cast("int")
@@ -435,7 +438,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.75,
     hot = cut(parts.mapInArrow(large, "key bigint, much bigint").groupBy("key").agg(F.sum("much").alias("much")).where(F.col("much") > BLOCK // 2))
     points = parts.mapInArrow(emit, "key bigint, id bigint, size bigint, low bigint, high bigint")
     some = not hot.isEmpty()
-    cold = points.join(hot.select("key"), "key", "left_anti") if some else points
+    # Broadcast, as a shuffle by key for the join would stand in for the one below, and Spark may then read it by mapper or split it: trees would come in parts.
+    cold = points.join(F.broadcast(hot.select("key")), "key", "left_anti") if some else points
     pairs = cut(cold.repartition("key").sortWithinPartitions("key").mapInArrow(_forest(threshold), "a bigint, b bigint"))
     if some:
         pairs = pairs.union(_large_trees(points.join(hot, "key"), threshold))

@@ -111,3 +111,33 @@ def test_a_tree_of_200_000_points_is_spread_over_tasks(spark, monkeypatch):
     assert len({r["a"] for r in tasks}) >= 4
     blocks = -(-n // N.BLOCK)
     assert len(tasks) < blocks * (blocks + 1) // 2
+
+
+def test_a_text_may_have_as_many_words_as_characters(spark):
+    rows = [("a", "İ" * 24), ("b", "İ" * 23), ("c", "İ" * 19), ("d", "ab" * 12)]
+    assert brute(rows) == {("a", "b")}
+    assert found(spark, rows)[2] == {("a", "b")}
+
+
+def test_bounds_of_blocks_are_fixed_before_points_are_placed(spark, monkeypatch):
+    kept, cut = [], N.cut
+    monkeypatch.setattr(N, "BLOCK", 32)
+    monkeypatch.setattr(N, "cut", lambda df: kept.append(df.columns) or cut(df))
+    rows = texts(seed=6, roots=1, copies=80)
+    assert found(spark, rows)[2] == brute(rows)
+    assert ["key", "bounds"] in kept
+
+
+def test_trees_stay_whole_when_the_join_with_the_large_ones_changes_its_kind(spark, monkeypatch):
+    # A sort-merge join that turns into a broadcast one while running reads its shuffle by mapper, not by key.
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    monkeypatch.setattr(N, "BLOCK", 32)
+    rows = texts(seed=5, roots=1, copies=120) + [(f"y{k}", t) for k, t in texts(seed=8, roots=60)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert found(spark, rows)[2] == brute(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
