@@ -155,3 +155,34 @@ def test_top_share_with_ties(spark):
     df = spark.createDataFrame([(x,) for x in [0] * 150 + [3] * 49 + [100]], "v bigint")
     r = descriptive.top_share(df, "v", 0.01).collect()[0]
     assert r["n"] == 200 and r["top_share"] == pytest.approx(103 / 247, abs=1e-6)
+
+
+def test_a_wide_ridge_of_unlike_columns_is_the_closed_form(spark):
+    # Terms that nearly always occur together and of very different frequency take many steps; a fit that ends early is off.
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(8)
+    x = (rng.random((600, 40)) < np.geomspace(0.9, 0.01, 40)).astype(float)
+    x[:, 1:20:2] = x[:, 0:20:2]
+    x[rng.random(600) < 0.005, 1] = 3.0
+    x[:, 0] *= 400
+    y = x @ rng.normal(size=40) * 0.1 + rng.normal(size=600)
+    df = spark.createDataFrame([(Vectors.sparse(40, np.flatnonzero(a).tolist(), a[a != 0].tolist()), float(b)) for a, b in zip(x, y)], ["x", "y"])
+    xc, yc = x - x.mean(0), y - y.mean()
+    for alpha in (0.01, 1.0):
+        want = np.linalg.solve(xc.T @ xc + alpha * np.eye(40), xc.T @ yc)
+        model = ladder.ridge(df, alpha, True)
+        assert model.coefficients.toArray() == pytest.approx(want, abs=1e-6)
+        assert model.intercept == pytest.approx(y.mean() - x.mean(0) @ want, abs=1e-5)
+
+
+def test_all_penalties_take_the_passes_of_the_slowest(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(f"c{i}", f"v{i % 6}", "ch", float(v @ [1, -1, 2]), int(v[0] > 0), "test" if i % 6 == 5 else "val" if i % 6 == 4 else "fit", *v.tolist()) for i, v in enumerate(rng.normal(size=(240, 3)))]
+    df = spark.createDataFrame(rows, "comment_id string, video_id string, channel string, y double, like_count int, split string, a double, b double, c double")
+    passes, summed = [], ladder._summed
+    monkeypatch.setattr(ladder, "_summed", lambda s, files, of: passes.append(1) or summed(s, files, of))
+    wide, pred = ladder.fit_tuned(df, ["a", "b", "c"], True)
+    narrow, same = ladder.fit_tuned(df, ["a", "b", "c"], False)
+    assert wide == narrow and len(passes) <= 12
+    assert {r["comment_id"]: r["prediction"] for r in pred.collect()} == pytest.approx({r["comment_id"]: r["prediction"] for r in same.collect()}, abs=1e-6)
