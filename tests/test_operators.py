@@ -186,3 +186,22 @@ def test_all_penalties_take_the_passes_of_the_slowest(spark, monkeypatch):
     narrow, same = ladder.fit_tuned(df, ["a", "b", "c"], False)
     assert wide == narrow and len(passes) <= 12
     assert {r["comment_id"]: r["prediction"] for r in pred.collect()} == pytest.approx({r["comment_id"]: r["prediction"] for r in same.collect()}, abs=1e-6)
+
+
+def test_the_heaviest_columns_are_taken_together(spark, monkeypatch):
+    # Chains of terms that nearly always occur together: one by one they take many passes.
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(10)
+    x = np.repeat((rng.random((500, 10)) < 0.5).astype(float), 4, 1)
+    x[rng.random(x.shape) < 0.02] = 2.0
+    y = x @ rng.normal(size=40) + rng.normal(size=500)
+    df = spark.createDataFrame([(Vectors.sparse(40, np.flatnonzero(a).tolist(), a[a != 0].tolist()), float(b)) for a, b in zip(x, y)], ["x", "y"])
+    passes, summed = [], ladder._summed
+    monkeypatch.setattr(ladder, "_summed", lambda s, files, of: passes.append(1) or summed(s, files, of))
+    xc, yc = x - x.mean(0), y - y.mean()
+    for heavy, most in ((1024, 6), (8, 200)):
+        monkeypatch.setattr(ladder, "HEAVY", heavy)
+        passes.clear()
+        assert ladder.ridge(df, 1.0, True).coefficients.toArray() == pytest.approx(np.linalg.solve(xc.T @ xc + np.eye(40), xc.T @ yc), abs=1e-6)
+        assert len(passes) <= most
