@@ -57,17 +57,33 @@ def char_ids(text: str) -> np.ndarray:
     return char_table()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
 
 
+def _gates(z: np.ndarray) -> None:
+    """1 / (1 + exp(z)) in place; exp overflows to infinity, of which the gate is rightly 0."""
+    with np.errstate(over="ignore"):
+        np.exp(z, out=z)
+    z += 1.0
+    np.divide(1.0, z, out=z)
+
+
 class Network:
-    """Inference. Gate weights are folded: inputs are a table by character, and sigmoids are written as tanh."""
+    """Inference. Weights are folded: inputs are a table by character, and all gates are 1 / (1 + exp(z)); a tanh is twice such a gate less 1.
+
+    States and cells are kept halved, which is exact, as the weights that they meet are doubled.
+    """
 
     def __init__(self, weights: dict[str, np.ndarray], rarer: float | None = None):
         w = {k: np.array(v, np.float32) for k, v in weights.items()}
         self.hidden = w["Uf"].shape[0]
-        half = np.ones(4 * self.hidden, np.float32)
-        half[: 3 * self.hidden] = 0.5
-        self.table = {d: np.ascontiguousarray((w["E"] @ w[f"W{d}"] + w[f"b{d}"]) * half) for d in "fb"}
-        self.inner = {d: np.ascontiguousarray(w[f"U{d}"] * half) for d in "fb"}
-        self.out = {d: w[f"O{d}"] for d in "fb"}
+        sign = np.array([-1, -1, -1, -2], np.float32)[:, None, None]
+        by_gate = lambda x: np.ascontiguousarray(x.reshape(len(x), 4, self.hidden).transpose(1, 0, 2) * sign)
+        self.table = {d: by_gate(w["E"] @ w[f"W{d}"] + w[f"b{d}"]) for d in "fb"}
+        self.inner = {d: by_gate(2 * w[f"U{d}"]) for d in "fb"}
+        self.out = {d: 2 * w[f"O{d}"] for d in "fb"}
+        # The backward states and cells after so much padding, as the training has it behind a text.
+        self.padded = np.zeros((2, WINDOW + 1, self.hidden), np.float32)
+        for m in range(WINDOW):
+            self.padded[1, m + 1] = self.padded[1, m]
+            self._step("b", np.array([PAD]), self.padded[0, m : m + 1], self.padded[1, m + 1 : m + 2], self.padded[0, m + 1 : m + 2], np.empty((2, 4 * self.hidden), np.float32))
         self.bias, self.trans, self.start, self.end = w["o"], w["trans"], w["start"], w["end"]
         # Training shows names far more often than texts do: the odds of a name's beginning are lowered by that.
         begin = TAGS.index("B-name")
@@ -92,46 +108,61 @@ class Network:
         """For each of the texts (T, B, tags) of these sizes: False only if all O is its best path, as no stretch of any kind has a bound above 0."""
         steps, many = scores.shape[:2]
         at, last = np.arange(many), np.clip(sizes, 1, steps) - 1
-        beyond = np.where(np.arange(steps)[:, None] > last, 1e9, 0.0)
-        by_tag = np.ascontiguousarray(scores.transpose(2, 0, 1))
+        beyond = np.where(np.arange(steps) > last[:, None], 1e9, 0.0)
+        by_tag = np.ascontiguousarray(scores.transpose(2, 1, 0))
         some = np.zeros(many, bool)
         for k, enter, opening, more, leave, closing, second in self.bounds:
             begin = by_tag[k] - by_tag[0]
-            begin[0] += max(0.0, opening - enter)
+            begin[:, 0] += max(0.0, opening - enter)
             # The best stretch from a to b is begin[a] and the sum of the further tags up to b.
             step = by_tag[k + 1] - by_tag[0]
             step += more
-            best = np.cumsum(step, 0, dtype=np.float64)
-            best -= np.minimum.accumulate(best - begin, 0)
+            best = np.cumsum(step, 1, dtype=np.float64)
+            best -= np.minimum.accumulate(best - begin, 1)
             best -= beyond
-            some |= np.maximum(best.max(0) + leave, best[last, at] + closing) + enter + second > -1e-3
+            some |= np.maximum(best.max(1) + leave, best[at, last] + closing) + enter + second > -1e-3
         return some
 
-    def scores(self, ids: np.ndarray) -> np.ndarray:
-        """(T, B, tags) for a (T, B) array of characters."""
+    def _step(self, d: str, ids: np.ndarray, state: np.ndarray, cell: np.ndarray, out: np.ndarray, spare: np.ndarray) -> None:
+        """One character for each row: cell is changed in place, the next state written to out; spare is memory to work in."""
+        size = 4 * cell.size
+        z, g = (x[:size].reshape(4, -1, self.hidden) for x in spare)
+        np.take(self.table[d], ids, axis=1, out=z, mode="clip")
+        np.matmul(state, self.inner[d], out=g)
+        z += g
+        _gates(z)
+        into, keep, show, new = z
+        new -= 0.5
+        new *= into
+        cell *= keep
+        cell += new
+        part = g[0]
+        np.multiply(cell, -4.0, out=part)
+        _gates(part)
+        part -= 0.5
+        np.multiply(part, show, out=out)
+
+    def scores(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(T, B, tags) for a (T, B) array of characters, of which each column has so many; sizes ascend.
+
+        Every column counts as padded to a whole window, so what is beside it in the block doesn't matter. Scores behind its end are of no use.
+        """
         steps, many = ids.shape
-        h = self.hidden
         out = np.empty((steps, many, len(TAGS)), np.float32)
         out[:] = self.bias
-        z, g = np.empty((2, many, 4 * h), np.float32)
-        part = np.empty((many, h), np.float32)
+        first = np.searchsorted(sizes, np.arange(steps + 1), "right")
+        spare = np.empty((2, 4 * many * self.hidden), np.float32)
         for d in "fb":
-            table, inner, tags = self.table[d], self.inner[d], self.out[d]
-            state, cell = np.zeros((2, many, h), np.float32)
+            states = np.zeros((steps + 1, many, self.hidden), np.float32)  # forward the last is the one before the first character
+            cells = np.zeros((many, self.hidden), np.float32)
             for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                np.take(table, ids[t], axis=0, out=z, mode="clip")
-                np.matmul(state, inner, out=g)
-                z += g
-                np.tanh(z, out=z)
-                gates = z[:, : 3 * h]
-                gates *= 0.5
-                gates += 0.5
-                cell *= z[:, h : 2 * h]
-                np.multiply(z[:, :h], z[:, 3 * h :], out=part)
-                cell += part
-                np.tanh(cell, out=state)
-                state *= z[:, 2 * h : 3 * h]
-                out[t] += state @ tags
+                before = states[t - 1 if d == "f" else t + 1]
+                if d == "b":
+                    ends = slice(first[t], first[t + 1])
+                    before[ends], cells[ends] = self.padded[:, WINDOW - t - 1]
+                live = slice(first[t], many)
+                self._step(d, ids[t, live], before[live], cells[live], states[t, live], spare)
+            out += (states[:steps].reshape(-1, self.hidden) @ self.out[d]).reshape(out.shape)
         return out
 
     def decode(self, scores: list[np.ndarray | None]) -> list[np.ndarray]:
@@ -174,33 +205,38 @@ def _weight() -> np.ndarray:
     return np.minimum(np.minimum(x, WINDOW - 1 - x) + 1, (WINDOW - STEP) // 2 + 1).astype(np.float32)
 
 
-def tag(net: Network, texts: list[str]) -> list[np.ndarray]:
-    """The tags of every character of every text, however long."""
-    ids = [char_ids(t) for t in texts]
-    windows = [(i, k) for i, x in enumerate(ids) for k in range(0, max(1, len(x) - (WINDOW - STEP)), STEP)]
-    windows.sort(key=lambda w: min(WINDOW, len(ids[w[0]]) - w[1]))
-    scores: list[np.ndarray | None] = [None] * len(ids)
+def _flat_ids(texts: list[str], chunk: int = 256) -> np.ndarray:
+    """The characters of all texts, one text after the other, and a window of padding."""
+    return np.concatenate([*(char_ids("".join(texts[k : k + chunk])) for k in range(0, len(texts), chunk)), np.full(WINDOW, PAD, np.uint8)])
+
+
+def _paths(net: Network, texts: list[str]) -> dict[int, np.ndarray]:
+    """The tags of every character of the texts, however long, that may have others than O."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    ids, starts = _flat_ids(texts), np.cumsum(lengths) - lengths
+    # Each window's text and place in it.
+    counts = np.maximum(1, -(-(lengths - (WINDOW - STEP)) // STEP))
+    of = np.repeat(np.arange(len(texts)), counts)
+    places = (np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)) * STEP
+    reach = np.minimum(WINDOW, lengths[of] - places)
+    order = np.argsort(reach, kind="stable")
+    scores: dict[int, np.ndarray] = {}
     sums: dict[int, np.ndarray] = {}
     weight = _weight()
-    for k in range(0, len(windows), BATCH):
-        part = windows[k : k + BATCH]
-        steps = max(1, min(WINDOW, max(len(ids[i]) - at for i, at in part)))
-        block = np.full((steps, len(part)), PAD, np.uint8)
-        for b, (i, at) in enumerate(part):
-            x = ids[i][at : at + WINDOW]
-            block[: len(x), b] = x
-        got = net.scores(block)
-        some = net.may_have(got, np.array([len(ids[i]) - at for i, at in part]))
-        for b, (i, at) in enumerate(part):
-            n = min(WINDOW, len(ids[i]) - at)
-            if len(ids[i]) <= WINDOW:
-                if some[b]:
-                    scores[i] = got[:n, b].copy()
-            else:
-                if i not in sums:
-                    sums[i] = np.zeros((len(ids[i]), len(TAGS) + 1), np.float32)
-                sums[i][at : at + n, :-1] += got[:n, b] * weight[:n, None]
-                sums[i][at : at + n, -1] += weight[:n]
+    for k in range(0, len(order), BATCH):
+        part = order[k : k + BATCH]
+        own, at, sizes = of[part], places[part], reach[part]
+        steps = max(1, int(sizes[-1]))
+        got = net.scores(ids[starts[own] + at + np.arange(steps)[:, None]], sizes)
+        short = lengths[own] <= WINDOW
+        for b in np.flatnonzero(short)[net.may_have(got[:, short], sizes[short])] if short.any() else []:
+            scores[int(own[b])] = got[: sizes[b], b].copy()
+        for b in np.flatnonzero(~short):
+            i, a, n = int(own[b]), int(at[b]), int(sizes[b])
+            if i not in sums:
+                sums[i] = np.zeros((lengths[i], len(TAGS) + 1), np.float32)
+            sums[i][a : a + n, :-1] += got[:n, b] * weight[:n, None]
+            sums[i][a : a + n, -1] += weight[:n]
     long = sorted(sums, key=lambda i: len(sums[i]))
     for k in range(0, len(long), BATCH // 4):
         part = long[k : k + BATCH // 4]
@@ -210,7 +246,14 @@ def tag(net: Network, texts: list[str]) -> list[np.ndarray]:
             block[: sizes[b], b] = sums[i][:, :-1] / sums[i][:, -1:]
         for b in np.flatnonzero(net.may_have(block, sizes)):
             scores[part[b]] = block[: sizes[b], b].copy()
-    return [p if len(p) else np.zeros(len(x), np.int8) for p, x in zip(net.decode(scores), ids)]
+    found = [i for i in scores if len(scores[i])]
+    return dict(zip(found, net.decode([scores[i] for i in found])))
+
+
+def tag(net: Network, texts: list[str]) -> list[np.ndarray]:
+    """The tags of every character of every text, however long."""
+    paths = _paths(net, texts)
+    return [paths[i] if i in paths else np.zeros(len(t), np.int8) for i, t in enumerate(texts)]
 
 
 def raw_spans(path: np.ndarray) -> list[tuple[int, int, str]]:
@@ -254,13 +297,12 @@ def whole_words(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
 
 def find(net: Network, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     """The non-overlapping spans of every text."""
-    out = []
-    for text, path in zip(texts, tag(net, texts)):
-        own: list[tuple[int, int, str]] = []
+    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    for i, path in _paths(net, texts).items():
+        own = out[i]
         for a, b, kind in raw_spans(path):
-            if (at := whole_words(text, a, b, kind)) and (not own or at[0] >= own[-1][1]):
+            if (at := whole_words(texts[i], a, b, kind)) and (not own or at[0] >= own[-1][1]):
                 own.append((*at, kind))
-        out.append(own)
     return out
 
 

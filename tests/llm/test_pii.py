@@ -41,6 +41,45 @@ def test_skipping_the_search_changes_no_path():
     assert all((a == b).all() for a, b in zip(skipped, pii.tag(full, texts)))
 
 
+def plain_scores(weights, ids):
+    """Of one window's characters, padded to a whole window, by the formulas of an LSTM as they are usually written."""
+    w, x = {k: np.array(v, float) for k, v in weights.items()}, np.r_[ids, np.full(pii.WINDOW - len(ids), pii.PAD)]
+    out = np.tile(w["o"], (pii.WINDOW, 1))
+    for d, order in (("f", range(pii.WINDOW)), ("b", range(pii.WINDOW - 1, -1, -1))):
+        state = cell = np.zeros(len(w["Uf"]))
+        for t in order:
+            i, f, o, g = np.split(w["E"][x[t]] @ w[f"W{d}"] + w[f"b{d}"] + state @ w[f"U{d}"], 4)
+            cell = cell / (1 + np.exp(-f)) + np.tanh(g) / (1 + np.exp(-i))
+            state = np.tanh(cell) / (1 + np.exp(-o))
+            out[t] += state @ w[f"O{d}"]
+    return out[: len(ids)]
+
+
+def test_scores_are_those_of_the_plain_formulas_whatever_is_beside_them():
+    net, texts = pii.network(), sorted(["", "+1", "nice", "Ring +44 7700 900189 and ask", TEXT[:100], TEXT[: pii.WINDOW], "0" * pii.WINDOW], key=len)
+    sizes, block = np.array([len(t) for t in texts]), np.full((pii.WINDOW, len(texts)), 7, np.uint8)
+    for b, t in enumerate(texts):
+        block[: len(t), b] = pii.char_ids(t)
+    got = net.scores(block, sizes)
+    for b, t in enumerate(texts):
+        np.testing.assert_allclose(got[: len(t), b], plain_scores(np.load(pii.WEIGHTS), pii.char_ids(t)), atol=2e-3)
+
+
+def test_a_text_has_the_same_spans_alone_and_among_others():
+    net = pii.network()
+    texts = [TEXT[:n] for n in range(0, len(TEXT), 3)] + ["honestly, this clown should quit forever", "the shop on Avenida de los Pozo nº 172 closed down", "+1", "x" * 300]
+    assert pii.find(net, texts) == [pii.find(net, [t])[0] for t in texts]
+
+
+def test_no_padding_goes_through_the_network(monkeypatch):
+    net, steps, texts = pii.network(), [], ["nice", "Ring +44 7700 900189 and ask for the shop", "", "wow " * 90]
+    step = pii.Network._step
+    monkeypatch.setattr(pii.Network, "_step", lambda self, d, ids, *rest: (steps.append(len(ids)), step(self, d, ids, *rest)))
+    pii.find(net, texts)
+    windows = sum(min(pii.WINDOW, len(t) - k) for t in texts for k in range(0, max(1, len(t) - (pii.WINDOW - pii.STEP)), pii.STEP))
+    assert sum(steps) == 2 * windows
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     p = {k: v.astype(float) for k, v in pii_train.initial().items()}
