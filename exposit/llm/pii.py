@@ -28,6 +28,8 @@ WINDOW, STEP = 128, 96
 NAMES_RARER = 3.0
 #: Windows that are run through the network at once.
 BATCH = 512
+#: What the gates are multiplied by: the last, a tanh, is 2 - 4 / (1 + exp(z)), as cells are kept times -2.
+GATES = np.array([1, 1, 1, -4], np.float32)[:, None, None]
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 #: Character classes after the printable ASCII ones: padding, line end, hidden, other white space, letters by case, digits, marks, symbols.
 PAD, LINE, HIDDEN, WHITE, LOWER, UPPER, LETTER, DIGIT, MARK, SYMBOL = range(95, 105)
@@ -57,18 +59,10 @@ def char_ids(text: str) -> np.ndarray:
     return char_table()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
 
 
-def _gates(z: np.ndarray) -> None:
-    """1 / (1 + exp(z)) in place; exp overflows to infinity, of which the gate is rightly 0."""
-    with np.errstate(over="ignore"):
-        np.exp(z, out=z)
-    z += 1.0
-    np.divide(1.0, z, out=z)
-
-
 class Network:
     """Inference. Weights are folded: inputs are a table by character, and all gates are 1 / (1 + exp(z)); a tanh is twice such a gate less 1.
 
-    States and cells are kept halved, which is exact, as the weights that they meet are doubled.
+    States are kept halved and cells times -2, so that an exp can take them as they are. Both are exact, as are the weights that go with them.
     """
 
     def __init__(self, weights: dict[str, np.ndarray], rarer: float | None = None):
@@ -130,18 +124,21 @@ class Network:
         np.take(self.table[d], ids, axis=1, out=z, mode="clip")
         np.matmul(state, self.inner[d], out=g)
         z += g
-        _gates(z)
+        np.exp(z, out=z)
+        z += 1.0
+        np.divide(GATES, z, out=z)
         into, keep, show, new = z
-        new -= 0.5
+        new += 2.0
         new *= into
         cell *= keep
         cell += new
-        part = g[0]
-        np.multiply(cell, -4.0, out=part)
-        _gates(part)
+        part = np.exp(cell, out=g[0])
+        part += 1.0
+        np.divide(1.0, part, out=part)
         part -= 0.5
         np.multiply(part, show, out=out)
 
+    @np.errstate(over="ignore")  # of an infinite exp the gate is rightly 0
     def scores(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """(T, B, tags) for a (T, B) array of characters, of which each column has so many; sizes ascend.
 
@@ -219,24 +216,27 @@ def _paths(net: Network, texts: list[str]) -> dict[int, np.ndarray]:
     of = np.repeat(np.arange(len(texts)), counts)
     places = (np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)) * STEP
     reach = np.minimum(WINDOW, lengths[of] - places)
-    order = np.argsort(reach, kind="stable")
     scores: dict[int, np.ndarray] = {}
     sums: dict[int, np.ndarray] = {}
-    weight = _weight()
-    for k in range(0, len(order), BATCH):
-        part = order[k : k + BATCH]
-        own, at, sizes = of[part], places[part], reach[part]
-        steps = max(1, int(sizes[-1]))
-        got = net.scores(ids[starts[own] + at + np.arange(steps)[:, None]], sizes)
-        short = lengths[own] <= WINDOW
-        for b in np.flatnonzero(short)[net.may_have(got[:, short], sizes[short])] if short.any() else []:
-            scores[int(own[b])] = got[: sizes[b], b].copy()
-        for b in np.flatnonzero(~short):
-            i, a, n = int(own[b]), int(at[b]), int(sizes[b])
-            if i not in sums:
-                sums[i] = np.zeros((lengths[i], len(TAGS) + 1), np.float32)
-            sums[i][a : a + n, :-1] += got[:n, b] * weight[:n, None]
-            sums[i][a : a + n, -1] += weight[:n]
+    weight = _weight()[:, None]
+    short = lengths[of] <= WINDOW
+    for kind in (short, ~short):
+        order = np.flatnonzero(kind)
+        order = order[np.argsort(reach[order], kind="stable")]
+        for k in range(0, len(order), BATCH):
+            part = order[k : k + BATCH]
+            own, at, sizes = of[part], places[part], reach[part]
+            steps = max(1, int(sizes[-1]))
+            got = net.scores(ids[starts[own] + at + np.arange(steps)[:, None]], sizes)
+            if kind is short:
+                for b in np.flatnonzero(net.may_have(got, sizes)):
+                    scores[int(own[b])] = got[: sizes[b], b].copy()
+                continue
+            for i, a, n, x in zip(own.tolist(), at.tolist(), sizes.tolist(), np.ascontiguousarray(got.transpose(1, 0, 2))):
+                if i not in sums:
+                    sums[i] = np.zeros((lengths[i], len(TAGS) + 1), np.float32)
+                sums[i][a : a + n, :-1] += x[:n] * weight[:n]
+                sums[i][a : a + n, -1:] += weight[:n]
     long = sorted(sums, key=lambda i: len(sums[i]))
     for k in range(0, len(long), BATCH // 4):
         part = long[k : k + BATCH // 4]
